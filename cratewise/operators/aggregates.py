@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.operators.joins import sibling_totals
-from cratewise.operators.ranking import attach, average_ranks
+from cratewise.operators.ranking import average_ranks
 
 
 def distinct_users(df: DataFrame, item: str, user: str, listens: str) -> DataFrame:
@@ -57,23 +57,26 @@ def pivot_weights(df: DataFrame, key: str, name: str, names: list[str], value: s
 
 
 def leave_one_out(
-    df: DataFrame, group: str, y: str, held_out: str, mu: float, mean: str, known: str, shrink: float = 2.0
+    df: DataFrame, group: str, labelled: str, ys: dict[str, str], held_out: str, centres: dict[str, float],
+    prefix: str, shrink: float = 2.0,
 ) -> DataFrame:
-    """Group mean without the row's own label, shrunk toward ``mu``; masked for held-out rows.
+    """Group means without the row's own label, shrunk toward the overall mean; masked for held-out rows.
 
-    Group sums take every label, those of validation and test rows too.
+    ``ys``: name → label column; adds ``<prefix>_<name>`` and one ``has_<prefix>``. Group sums take every
+    label, those of validation and test rows too. One aggregate and one join serve all labels.
     """
-    stats = df.where(F.col(y).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(
-        F.count("*").alias("_n"), F.sum(F.col(y).cast("decimal(28,9)")).cast("double").alias("_s")
-    )
-    own = F.col(y).isNotNull().cast("int")
+    sums = [F.sum(F.col(y).cast("decimal(28,9)")).cast("double").alias(f"_s_{d}") for d, y in ys.items()]
+    stats = df.where(F.col(labelled) & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"), *sums)
+    own = F.col(labelled).cast("int")
     others = F.coalesce("_n", F.lit(0)) - own
     masked = F.col(held_out) | (others <= 0)
-    shrunk = (F.col("_s") - F.coalesce(y, F.lit(0.0)) + shrink * mu) / (others + shrink)
     joined = df.join(stats, group, "left")
-    return joined.withColumns({
-        mean: F.when(masked, F.lit(mu)).otherwise(shrunk), known: F.when(masked, 0).otherwise(1)
-    }).drop("_n", "_s")
+    for d, y in ys.items():
+        mu = F.lit(float(centres[d]))
+        shrunk = (F.col(f"_s_{d}") - F.when(F.col(labelled), F.coalesce(y, F.lit(0.0))).otherwise(F.lit(0.0)) + shrink * mu) / (others + shrink)
+        joined = joined.withColumn(f"{prefix}_{d}", F.when(masked, mu).otherwise(shrunk))
+    joined = joined.withColumn(f"has_{prefix}", F.when(masked, 0.0).otherwise(1.0))
+    return joined.drop("_n", *[f"_s_{d}" for d in ys])
 
 
 def normal_equations(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
@@ -134,9 +137,6 @@ def unmapped_values(tags: DataFrame, known: list[DataFrame], limit: int) -> Data
 
 def sibling_counts(own: DataFrame, keys: DataFrame, sizes: DataFrame) -> DataFrame:
     """How many distinct recordings share a key with each song, and their summed size."""
-    out = sibling_totals(own.select("song").distinct(), own, keys, sizes, {"siblings": F.lit(1), "size_sum": F.col("p_size")})
+    song_keys = own.join(keys, "recording").select("song", "key")
+    out = sibling_totals(song_keys, own, keys, sizes, {"siblings": F.lit(1), "size_sum": F.col("p_size")})
     return out.where("siblings > 0")
-
-
-def totals_join(df: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
-    return attach(df, df.groupBy(*by).agg(*aggregates), by)

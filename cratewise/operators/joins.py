@@ -46,32 +46,33 @@ def nearest_label(nodes: DataFrame, parents: DataFrame, labels: DataFrame, max_d
 
 
 def sibling_totals(
-    need: DataFrame, own: DataFrame, keys: DataFrame, values: DataFrame, measures: dict[str, Column]
+    song_keys: DataFrame, own: DataFrame, keys: DataFrame, values: DataFrame, measures: dict[str, Column],
+    split: tuple[str, ...] = (),
 ) -> DataFrame:
     """Sums over the distinct recordings that share a key with a song, without listing the pairs.
 
     Recordings with the same set of keys form one class and are summed once; a song then adds up the
     classes it touches and takes its own recordings back out, so a key shared by a third of all
     recordings costs its number of classes, not its square.
-    ``need``: song. ``own``: song, recording. ``keys``: recording, key. ``values``: recording plus columns.
-    ``measures``: output name → expression summed over ``values`` rows (whole numbers or decimals).
+    ``song_keys``: song, key. ``own``: song, recording. ``keys``: recording, key. ``values``: recording plus
+    columns. ``measures``: output name → expression summed over ``values`` rows (whole numbers or decimals),
+    per value of the ``split`` columns.
     """
     sums = [F.sum(c).alias(n) for n, c in measures.items()]
-    wanted = own.join(need.select("song").distinct(), "song", "left_semi")
     key_sets = (
         keys.join(values.select("recording"), "recording", "left_semi")
         .groupBy("recording").agg(F.array_sort(F.collect_set("key")).alias("key_set"))
     )
     tagged = values.join(key_sets, "recording")
-    classes = tagged.groupBy("key_set").agg(*sums)
-    song_keys = wanted.join(keys, "recording").select("song", "key").distinct()
-    by_key = classes.select(F.explode("key_set").alias("key"), "key_set")
-    touched = song_keys.join(by_key, "key").select("song", "key_set").distinct()
-    reached = touched.join(classes, "key_set").select("song", *measures)
-    # A measured recording of the song itself shares its own keys, so it is always among those reached.
-    mine = wanted.join(tagged, "recording").groupBy("song").agg(*sums)
-    both = reached.unionByName(mine.select("song", *[(-F.col(n)).alias(n) for n in measures]))
-    return both.groupBy("song").agg(*[F.sum(n).alias(n) for n in measures])
+    classes = tagged.groupBy("key_set", *split).agg(*sums)
+    by_key = key_sets.select("key_set").distinct().select(F.explode("key_set").alias("key"), "key_set")
+    touched = song_keys.distinct().join(by_key, "key").select("song", "key_set").distinct()
+    reached = touched.join(classes, "key_set").select("song", *split, *measures)
+    # Own recordings count only where the song reaches them.
+    reachable = own.join(keys, "recording").join(song_keys, ["song", "key"], "left_semi").select("song", "recording").distinct()
+    mine = reachable.join(values, "recording").groupBy("song", *split).agg(*sums)
+    both = reached.unionByName(mine.select("song", *split, *[(-F.col(n)).alias(n) for n in measures]))
+    return both.groupBy("song", *split).agg(*[F.sum(n).alias(n) for n in measures])
 
 
 def contains_match(queries: DataFrame, tracks: DataFrame) -> DataFrame:

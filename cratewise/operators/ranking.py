@@ -87,6 +87,18 @@ def percent_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
     return attach(df, at.select(*by, value, share.alias(name)), [*by, value])
 
 
+def percent_ranks_of(df: DataFrame, key: str, by: list[str], columns: list[str]) -> DataFrame:
+    """``percent_rank`` of several columns within the group, in one ranking pass: key plus ``pr_<column>``."""
+    long = df.select(key, *by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [key, *by], list(columns), "_dim", "_value"
+    )
+    at = value_positions(long, [*by, "_dim"], "_value")
+    share = F.when(F.col("n") > 1, F.col("before") / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("_pr")
+    ranks = attach(long, at.select(*by, "_dim", "_value", share), [*by, "_dim", "_value"])
+    wide = ranks.groupBy(key).pivot("_dim", list(columns)).agg(F.first("_pr"))
+    return wide.withColumnsRenamed({c: f"pr_{c}" for c in columns})
+
+
 def average_rank_scale(df: DataFrame, key: str, columns: list[str], digits: int = 4) -> DataFrame:
     """Each column mapped to (−1, 1) by its average rank over the whole table; ties share a value."""
     long = df.select(key, *columns).unpivot([key], list(columns), "_dim", "_value")
@@ -108,9 +120,15 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 
 def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per group over value counts, without holding a group in memory."""
-    at = value_positions(df.where(F.col(value).isNotNull()), by, value)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
+    return median_of_counts(counts, by, value, "ties", name)
+
+
+def median_of_counts(counts: DataFrame, by: list[str], value: str, ties: str, name: str = "median") -> DataFrame:
+    """Median of values given how often each occurs (one row per group and value)."""
+    at = prefix_totals(counts, by, [F.col(value).asc()], weight=ties, before="before", total="n")
     covers = lambda pos: (
-        (F.col("before") <= pos) & (pos < F.col("before") + F.col("ties"))
+        (F.col("before") <= pos) & (pos < F.col("before") + F.col(ties))
     ).cast("int")
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     part = F.col(value) * (covers(low) + covers(high)) / 2.0

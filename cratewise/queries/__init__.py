@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_sources", "q_relational")
+MODULES = ("q_sources", "q_relational", "q_scalar", "q_catalog")
 
 
 def load_all() -> None:

@@ -311,12 +311,12 @@ def d9(r: Roles):
 
 
 @query("d10_decimal_weighted_means", """
-    SELECT l_suppkey, round(CAST(sum(CAST(l_discount AS DECIMAL(12,5))) AS DOUBLE) / count(*), 6) AS discount,
-           round(CAST(sum(CAST(l_tax AS DECIMAL(12,5))) AS DOUBLE) / count(*), 6) AS tax FROM lineitem GROUP BY 1""")
+    SELECT l_suppkey, round(CAST(sum(CAST(l_discount AS DECIMAL(12,5))) AS DOUBLE) / count(*), 9) AS discount,
+           round(CAST(sum(CAST(l_tax AS DECIMAL(12,5))) AS DOUBLE) / count(*), 9) AS tax FROM lineitem GROUP BY 1""")
 def d10(r: Roles):
     sums = ag.decimal_sums(r.lineitem, ["l_suppkey"], ["l_discount", "l_tax"])
     return ag.means_of_sums(sums, ["l_suppkey"], ["l_discount", "l_tax"]).select(
-        "l_suppkey", F.round("l_discount", 6).alias("discount"), F.round("l_tax", 6).alias("tax"))
+        "l_suppkey", F.round("l_discount", 9).alias("discount"), F.round("l_tax", 9).alias("tax"))
 
 
 @query("d11_pivot_weights", """
@@ -347,10 +347,11 @@ def d14(r: Roles):
              ELSE (s - (CASE WHEN has_y THEN y ELSE 0 END) + 2 * mu) / (n - CAST(has_y AS INTEGER) + 2) END, 4) AS mean
     FROM b CROSS JOIN m LEFT JOIN g ON g.p_brand = b.p_brand""")
 def d15(r: Roles):
-    rows = r.part.select("p_partkey", "p_brand", F.when(c("p_partkey") % 3 != 0, c("p_size").cast("double")).alias("y"), (c("p_partkey") % 20 == 7).alias("held"))
+    y = F.when(c("p_partkey") % 3 != 0, c("p_size").cast("double"))
+    rows = r.part.select("p_partkey", "p_brand", y.alias("y"), y.isNotNull().alias("has_y"), (c("p_partkey") % 20 == 7).alias("held"))
     mu = rows.agg(F.avg("y")).first()[0] or 0.0
-    out = ag.leave_one_out(rows, "p_brand", "y", "held", mu, "mean", "known")
-    return out.select("p_partkey", "known", F.round("mean", 4).alias("mean"))
+    out = ag.leave_one_out(rows, "p_brand", "has_y", {"y": "y"}, "held", {"y": mu}, "mean")
+    return out.select("p_partkey", c("has_mean").cast("int").alias("known"), F.round("mean_y", 4).alias("mean"))
 
 
 @query("d16_normal_equations", """
@@ -538,7 +539,7 @@ def e14(r: Roles):
 
 
 @query("e15_neighbour_smoothing", """
-    SELECT request, k, round(p + 0.3 * (coalesce(lag(p) OVER w, 0) + coalesce(lead(p) OVER w, 0)), 4) AS s FROM taste_group WHERE grp = 'decades'
+    SELECT request, k, round(p + CAST(0.3 AS DOUBLE) * (coalesce(lag(p) OVER w, 0) + coalesce(lead(p) OVER w, 0)), 4) AS s FROM taste_group WHERE grp = 'decades'
     WINDOW w AS (PARTITION BY request ORDER BY ord)""")
 def e15(r: Roles):
     rows = r.taste_group.where("grp = 'decades'").withColumn("p", c("p").cast("double"))
