@@ -7,7 +7,6 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.operators.joins import sibling_totals
 from cratewise.operators.ranking import average_ranks
 
 
@@ -133,10 +132,3 @@ def unmapped_values(tags: DataFrame, known: list[DataFrame], limit: int) -> Data
     per_song = rows.groupBy("tag", "song").agg(F.sum("votes").alias("_v"))
     counts = per_song.groupBy("tag").agg(F.count("song").alias("songs"), F.sum("_v").alias("votes"))
     return counts.orderBy(F.col("songs").desc(), "tag").limit(limit)
-
-
-def sibling_counts(own: DataFrame, keys: DataFrame, sizes: DataFrame) -> DataFrame:
-    """How many distinct recordings share a key with each song, and their summed size."""
-    song_keys = own.join(keys, "recording").select("song", "key")
-    out = sibling_totals(song_keys, own, keys, sizes, {"siblings": F.lit(1), "size_sum": F.col("p_size")})
-    return out.where("siblings > 0")

@@ -17,9 +17,10 @@ def largest_remainder(
     whole = F.sum(F.col(weight)).over(group)
     even = F.lit(1.0) / F.count("*").over(group)
     share = F.when(whole > 0, F.col(weight) / whole).otherwise(even)
-    exact = df.withColumn("_exact", share * total).withColumn("_floor", F.floor("_exact"))
+    # Rounded, so that the order in which a group's weights were summed cannot decide a tie.
+    exact = df.withColumn("_exact", F.round(share * total, 9)).withColumn("_floor", F.floor("_exact"))
     left = total - F.sum("_floor").over(group)
-    by_fraction = group.orderBy((F.col("_exact") - F.col("_floor")).desc(), *order)
+    by_fraction = group.orderBy(F.round(F.col("_exact") - F.col("_floor"), 6).desc(), *order)
     ranked = exact.withColumn("_left", left).withColumn("_rk", F.row_number().over(by_fraction))
     slots = F.col("_floor") + F.when(F.col("_rk") <= F.col("_left"), 1).otherwise(0)
     return ranked.withColumn(name, slots.cast("int")).drop("_exact", "_floor", "_left", "_rk")

@@ -162,8 +162,11 @@ _SIB_KEYS = "SELECT DISTINCT l_partkey AS recording, l_orderkey AS key FROM line
 def c8(r: Roles):
     keys = r.lineitem.where("l_quantity < 14").select(c("l_partkey").alias("recording"), c("l_orderkey").alias("key")).distinct()
     # Every third recording is looked up; a song owns all recordings with its number modulo 500.
-    asked = keys.where("recording % 3 = 0").select("recording").distinct().select(((c("recording") % 500)).alias("song"), "recording")
-    return ag.sibling_counts(asked, keys, r.part.select(c("p_partkey").alias("recording"), "p_size"))
+    own = keys.select((c("recording") % 500).alias("song"), "recording").distinct()
+    asked = keys.where("recording % 3 = 0").select((c("recording") % 500).alias("song"), "key").distinct()
+    sizes = r.part.select(c("p_partkey").alias("recording"), "p_size")
+    out = joins.sibling_totals(asked, own, keys, sizes, {"siblings": F.lit(1), "size_sum": c("p_size")})
+    return out.where("siblings > 0")
 
 
 @query("c9_hierarchy_walk", """
