@@ -152,6 +152,18 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, nam
     return ranked.where(F.col(name) <= k)
 
 
+def top_by_limit(df: DataFrame, by: list[str], order: list[Column], limit: Column, spread: str, name: str = "rk", salts: int = 32) -> DataFrame:
+    """The best ``limit`` rows per group, where the limit differs by group.
+
+    Every group is first cut in ``salts`` parts by ``spread`` (the overall best are among the parts' best), so
+    a group with much of the data is not ranked in one task.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    part = Window.partitionBy(*by, "_salt").orderBy(*order)
+    cut = salted.withColumn(name, F.row_number().over(part)).where(F.col(name) <= limit).drop("_salt")
+    return cut.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= limit)
+
+
 def best_per_group(df: DataFrame, by: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The columns of the first row of every group, as a partial (map-side) aggregate."""
     first = F.min_by(F.struct(*columns), F.struct(*order))

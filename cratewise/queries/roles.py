@@ -308,7 +308,7 @@ _WORD = re.compile(r"(?<![.\w'])([a-z_][a-z_0-9]*)(?![\w'(])")
 
 def _named(text: str, names) -> list[str]:
     seen = dict.fromkeys(m.group(1) for m in re.finditer(r"\b(?:FROM|JOIN)\s+([a-z_][a-z_0-9]*)", text))
-    seen |= dict.fromkeys(re.findall(r"(?<=, )([a-z_][a-z_0-9]*)(?= [a-z]\w* WHERE)", text))
+
     return [n for n in seen if n in names]
 
 
