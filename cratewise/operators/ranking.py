@@ -41,7 +41,7 @@ def prefix_totals(
     width = shuffle_width(df.sparkSession)
     groups = [F.col(c) for c in by]
     amount = F.col(weight) if weight else F.lit(1)
-    # Checkpointed: range bounds come from a sample, so both readers below must see the same pieces.
+    # Written out: range bounds come from a sample, so both readers below must see the same pieces.
     pieces = fixed(
         df.repartitionByRange(width, *groups, *order).withColumn("_piece", F.spark_partition_id())
     )
