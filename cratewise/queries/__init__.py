@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_sources", "q_relational", "q_scalar", "q_catalog", "q_taste", "q_playlist", "q_measure")
+MODULES = ("q_sources", "q_relational", "q_scalar", "q_catalog", "q_taste", "q_playlist", "q_measure", "q_streaming")
 
 
 def load_all() -> None:
