@@ -68,7 +68,7 @@ def stream_waits(requests: DataFrame, key: str, ts: str, per_minute: float, dela
             tokens, last = self.state.get() if self.state.exists() else (per_minute, None)
             for pdf in rows:
                 out = []
-                for now in sorted(pdf["_ms"]):
+                for now in sorted(pdf[ts].astype("datetime64[ms]").astype("int64")):
                     tokens, wait = take(tokens, now if last is None else last, now, per_minute)
                     last = now if last is None else max(last, now)
                     out.append((k[0], now, wait))
@@ -86,7 +86,7 @@ def stream_waits(requests: DataFrame, key: str, ts: str, per_minute: float, dela
             pass
 
     types = dict(requests.dtypes)
-    rows = requests.withWatermark(ts, delay).withColumn("_ms", F.unix_millis(F.col(ts).cast("timestamp")))
+    rows = requests.withWatermark(ts, delay)
     return rows.groupBy(key).transformWithStateInPandas(
         Bucket(), f"{key} {types[key]}, at long, wait long", "append", "EventTime"
     )

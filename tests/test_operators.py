@@ -54,10 +54,15 @@ def _edit(a, b):
 
 def test_similar_pairs_finds_exactly_the_pairs_above_the_threshold(spark):
     rng = random.Random(11)
-    words = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 26))).strip() or "a" for _ in range(120)]
-    words += [w[:k] + "x" + w[k + 1:] for w in words[:60] for k in (len(w) // 2,)]
-    words += [w + " 5" for w in words[:20]] + [w + " 9" for w in words[:20]]
-    left, right = sorted(set(words[::2])), sorted(set(words[1::2]))
+    left = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 30))).strip() or "a" for _ in range(120)})
+    right = set(left[::5]) | {w + " 5" for w in left[:20]} | {w[::-1] for w in left[:20]}
+    for w in left:
+        v = list(w)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(v) + 1)
+            v[at:at + rng.randrange(2)] = rng.choice(["", "a", "bz"])
+        right.add("".join(v) or "a")
+    right = sorted(right)
     mk = lambda ws: spark.createDataFrame([("b", w) for w in ws], "blk string, t string")
     got = {(r["lv"], r["rv"]) for r in joins.similar_pairs(mk(left), mk(right), ["blk"], "t").collect()}
     digits = lambda s: "".join(x for x in s if x.isdigit())
