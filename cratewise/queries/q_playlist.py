@@ -117,9 +117,9 @@ def b12(r: Roles):
     return rows.where(pl.allowed(c("max_tier"))).groupBy("request").agg(F.count("*").alias("n"), F.sum("track_id").alias("ids"))
 
 
-@query("k4_cell_plan", "SELECT request, cell, size, round(weight, 8) AS weight, rank, kept FROM o_cell")
+@query("k4_cell_plan", "SELECT request, cell, size, round(weight, 11) AS weight, rank, kept FROM o_cell")
 def k4(r: Roles):
-    return r.k_cells.select("request", "cell", "size", F.round("weight", 8).alias("weight"), "rank", "kept")
+    return r.k_cells.select("request", "cell", "size", F.round("weight", 11).alias("weight"), "rank", "kept")
 
 
 oracle_stage("o_slot", """
@@ -137,14 +137,14 @@ def k5b(r: Roles):
     return pl.capped_slots(r.k_cells, r.requests)
 
 
-oracle_stage("o_fam", """
+oracle_stage("o_rank_in_cell", """
     SELECT track_id, cell, market, row_number() OVER (PARTITION BY cell, market ORDER BY hit DESC, artist_rank, track_id) - 1 AS rank, count(*) OVER (PARTITION BY cell, market) AS gs FROM k_track WHERE holiday = 0""")
 oracle_stage("o_window", """
-    SELECT s.request, s.cell, s.slots, m.track_id FROM o_slot s JOIN o_req q ON q.request = s.request JOIN o_fam m ON m.cell = s.cell
+    SELECT s.request, s.cell, s.slots, m.track_id FROM o_slot s JOIN o_req q ON q.request = s.request JOIN o_rank_in_cell m ON m.cell = s.cell
     WHERE s.slots > 0 AND (q.ceiling = 2 OR m.rank < greatest(3 * s.slots, ceil(round(greatest(9.0 * s.slots, 0.004 * gs) * power(4, -CAST(q.pop AS DOUBLE)), 9))))""")
 
 
-@query("e10_familiarity_ranks", "SELECT track_id, cell, market, rank, gs AS group_size FROM o_fam")
+@query("e10_familiarity_ranks", "SELECT track_id, cell, market, rank, gs AS group_size FROM o_rank_in_cell")
 def e10(r: Roles):
     return r.k_ranks
 

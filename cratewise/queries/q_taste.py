@@ -262,10 +262,10 @@ def j12(r: Roles):
     return qs.eligible_questions(r.early, r.early_sums, r.bank)
 
 
-@query("j13_gain_score", "SELECT session_id, question_id, round(raw / nk, 7) AS gain FROM o_gain")
+@query("j13_gain_score", "SELECT session_id, question_id, round(raw / nk, 11) AS gain FROM o_gain")
 def j13(r: Roles):
     pairs = qs.eligible_questions(r.early, r.early_sums, r.bank)
-    return qs.gain_scores(pairs, r.early_sums, r.bank).select("session_id", "question_id", F.round("gain", 7).alias("gain"))
+    return qs.gain_scores(pairs, r.early_sums, r.bank).select("session_id", "question_id", F.round("gain", 11).alias("gain"))
 
 
 @query("j14_duel_value", "SELECT session_id, question_id, round(duel, 7) AS duel FROM o_duel")

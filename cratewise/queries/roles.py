@@ -44,8 +44,6 @@ def _dims_sql() -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(i, grp, k, ord)"
 
 
-_PROBS = None
-
 
 def prob_sql() -> str:
     from cratewise.functions.features import PROBABILITIES
@@ -291,21 +289,22 @@ def stage(name: str, sql: str | None = None):
     """Register a derived stage: the function builds it in Spark, ``sql`` is its DuckDB form."""
 
     def keep(fn):
+        if name in STAGES:
+            raise ValueError(f"stage {name} is defined twice")
         STAGES[name] = fn
         if sql:
-            STAGE_SQL[name] = sql
+            oracle_stage(name, sql)
         return fn
 
     return keep
 
 
 def oracle_stage(name: str, sql: str) -> None:
+    if name in STAGE_SQL:
+        raise ValueError(f"oracle stage {name} is defined twice")
     STAGE_SQL[name] = sql
 
 
-_WORD = re.compile(r"(?<![.\w'])([a-z_][a-z_0-9]*)(?![\w'(])")
-
-
 def _named(text: str, names) -> list[str]:
     seen = dict.fromkeys(m.group(1) for m in re.finditer(r"\b(?:FROM|JOIN)\s+([a-z_][a-z_0-9]*)", text))
 
