@@ -66,9 +66,10 @@ def build_catalog(sel: DataFrame, raw: DataFrame, hits: DataFrame, genre: DataFr
         weights.join(sel.select("song"), "song", "left_semi").join(F.broadcast(clusters), "cluster"),
         ["song"], "ord", "cluster", "w", "clusters",
     )
-    rounded = [F.round(f"raw_{d}", 4).alias(f"raw_{d}") for d in SCALED_DIMS]
-    measured = raw.select("song", "feature_source", *rounded, F.round("raw_bpm", 1).alias("raw_bpm"),
-                          F.round("confidence", 3).alias("feature_confidence"))
+    # Rounded twice: a value on a rounding edge must not depend on the order its parts were added in.
+    tidy = lambda c, digits: F.round(F.round(c, 9), digits)
+    rounded = [tidy(f"raw_{d}", 4).alias(f"raw_{d}") for d in SCALED_DIMS]
+    measured = raw.select("song", "feature_source", *rounded, tidy("raw_bpm", 1).alias("raw_bpm"), tidy("confidence", 3).alias("feature_confidence"))
     hit = hits.withColumnRenamed("proxy_listeners", "_p")
     wide = (
         sel.join(measured, "song").join(scaled_axes(raw), "song").join(hit, "song")

@@ -566,7 +566,7 @@ def i16(r: Roles):
     SELECT s.gid AS track_id, s.title, s.year, s.decade, s.language, g.primary_cluster, h.tier, h.artist_rank, h.market, round(2 * h.popularity_pct - 1, 4) AS mainstream,
            CASE WHEN d.song IS NOT NULL THEN 'ab_direct' WHEN b.song IS NOT NULL THEN 'ab_sibling' ELSE 'model' END AS feature_source, s.via AS selected_via,
            coalesce((SELECT string_agg(k.cluster || '=' || CAST(k.w AS VARCHAR), ',' ORDER BY o.ord) FROM st_cluster k JOIN o_dim o ON o.cluster = k.cluster WHERE k.song = s.song), '') AS clusters,
-           round(CASE WHEN x.tag_mean IS NULL THEN x.prior ELSE 0.5 * x.tag_mean + 0.5 * x.prior END, 4) AS raw_complexity
+           CAST(round(CAST(round(CASE WHEN x.tag_mean IS NULL THEN x.prior ELSE 0.5 * x.tag_mean + 0.5 * x.prior END, 9) AS DECIMAL(18,9)), 4) AS DOUBLE) AS raw_complexity
     FROM st_sel s JOIN st_hits h ON h.song = s.song JOIN st_genre g ON g.song = s.song LEFT JOIN st_dims1 d ON d.song = s.song LEFT JOIN st_ab2 b ON b.song = s.song
     JOIN st_nudge x ON x.song = s.song AND x.dim = 'complexity'""")
 def i23(r: Roles):
