@@ -10,6 +10,7 @@ from cratewise.plans import playlist as pl
 from cratewise.queries.q_taste import DIMS
 from cratewise.queries.registry import query
 from cratewise.queries.roles import ROLE_SQL, Roles, oracle_stage, stage
+from cratewise.session import shuffle_width
 
 c = F.col
 ROLE_SQL["k_track"] = """
@@ -68,7 +69,8 @@ _TOP = "SELECT request, arg_min(k, (-p, ord)) AS genre FROM taste_group WHERE gr
         f"SELECT x.request, t.* FROM k_track t JOIN ({_TOP}) x ON x.genre = t.genre")}) GROUP BY 1""")
 def k1(r: Roles):
     top = r.taste_group.where("grp = 'genres'").groupBy("request").agg(F.min_by("k", F.struct(-c("p"), "ord")).alias("genre"))
-    rows = r.k_tracks.join(top, "genre").join(r.k_taste, "request").select("request", pl.score().alias("score"))
+    asked = top.join(r.k_taste, "request").repartition(shuffle_width(r.spark), "request")
+    rows = asked.join(r.k_tracks, "genre").select("request", pl.score().alias("score"))
     return rows.groupBy("request").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
