@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions import features as ft
 from cratewise.functions import text as tx
+from cratewise.queries import duck
 from cratewise.queries.registry import query
 from cratewise.queries.roles import Roles
 
@@ -241,6 +242,17 @@ def h26(r: Roles):
     return r.pages.select("page_id", tx.short_link_tag(path).alias("tag"))
 
 
+@query("n1_scalar_functions_together", f"""
+    SELECT doc_id, title AS raw, {duck.norm('title')} AS norm, {duck.strip('title')} AS bare, {duck.title_key('title')} AS key, {duck.version('title')} AS version,
+           {duck.decade('(1940 + doc_id % 90)')} AS decade, replace({duck.norm('title')}, ' ', '') AS squashed, 'lang_other' AS bucket FROM doc_title""")
+def n1(r: Roles):
+    t = c("title")
+    return r.doc_title.select(
+        "doc_id", tx.unescape_copy(tx.escape_copy(t)).alias("raw"), tx.norm_text(t).alias("norm"), tx.strip_version(t).alias("bare"), tx.norm_title(t).alias("key"),
+        tx.version_type(t, F.lit("")).alias("version"), tx.decade_of(1940 + c("doc_id") % 90).alias("decade"), tx.squash(t).alias("squashed"),
+        tx.lang_bucket(c("lang")).alias("bucket"))
+
+
 @query("n2_generated_expressions", """
     SELECT track_id, round(greatest(-1, least(1, 0.5 * energy - 0.25 * tempo + 0.125 * vocal + 0.1)), 6) AS y FROM tracks""")
 def n2(r: Roles):
