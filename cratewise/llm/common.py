@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         part = (np.cumsum(lengths) - lengths) // size
         cuts = np.flatnonzero(np.diff(part)) + 1
         for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
