@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import bpe
+from cratewise.llm import bpe, simhash
 from cratewise.session import tune
 
 
@@ -21,7 +21,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 #: name -> (query, DuckDB SQL for the same rows or None)
 QUERIES = {
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
 }
