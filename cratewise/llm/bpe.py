@@ -24,7 +24,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from cratewise.llm.common import Numbering, documents, offsets_of, ranges, slices, texts
 
 #: Distinct pre-token groups that a task replays together; more come in a further replay.
-REPLAY_GROUPS = 400_000
+REPLAY_GROUPS = 150_000
+#: Bytes of text that a task replays together, and ids that it returns in one batch.
+CORPUS_BYTES, OUT_IDS = 10 << 20, 500_000
 _SHIFT = 20
 _NONE = np.int32(2**31 - 1)
 #: White space other than the plain space and the line feed.
@@ -211,15 +213,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(Ranks.read(ranks_path))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=24 << 20):
-            out, ids, held = [], batch.column("doc_id").to_pylist(), 0
-            for doc_id, encoded in zip(ids, encode_texts(texts(batch), pattern, sent.value)):
-                out.append((doc_id, encoded.astype("<u4").tobytes()))
-                held += len(encoded)
-                if held > 2_000_000:
-                    yield _rows(out, "ids")
+        for doc_ids, corpus in corpora(batches):
+            out, held = [], 0
+            for doc_id, ids in zip(doc_ids, encode_texts(corpus, pattern, sent.value)):
+                out.append((doc_id, ids.astype("<u4").tobytes()))
+                held += len(ids)
+                if held > OUT_IDS:
+                    yield _rows(out)
                     out, held = [], 0
-            yield _rows(out, "ids")
+            yield _rows(out)
 
     return documents(docs).mapInArrow(task, "doc_id long, ids binary")
 
@@ -231,7 +233,7 @@ def decode(encoded: DataFrame, ranks_path: str, keep: Sequence[Column] = ()) ->
     kept = rows.columns[:-1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids", 8 << 20):
+        for batch in slices(batches, "ids", 2 << 20):
             listed = [x or b"" for x in batch.column("ids").to_pylist()]
             spelled, lengths = sent.value.spell(np.frombuffer(b"".join(listed), "<u4").astype(np.int64))
             ends = offsets_of(lengths)[offsets_of(np.array([len(x) // 4 for x in listed]))].tolist()
@@ -243,5 +245,19 @@ def decode(encoded: DataFrame, ranks_path: str, keep: Sequence[Column] = ()) ->
     return rows.mapInArrow(task, schema)
 
 
-def _rows(rows: list[tuple], name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", name])
+def corpora(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Document ids and texts of the task, about CORPUS_BYTES at a time."""
+    ids, held, size = [], [], 0
+    for batch in slices(batches, size=CORPUS_BYTES):
+        ids += batch.column("doc_id").to_pylist()
+        held += texts(batch)
+        size += batch.nbytes
+        if size > CORPUS_BYTES:
+            yield ids, held
+            ids, held, size = [], [], 0
+    if ids:
+        yield ids, held
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ids"])

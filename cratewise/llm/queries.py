@@ -10,7 +10,12 @@ from cratewise.llm import bpe, simhash
 from cratewise.session import tune
 
 
+#: Rows that Spark hands to a Python worker at a time: long texts make the default of 10,000 too many.
+ARROW_ROWS = 1_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
