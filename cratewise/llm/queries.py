@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import bpe, simhash
+from cratewise.llm import bpe, packing, simhash
 from cratewise.session import tune
 
 
@@ -30,8 +30,14 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 #: name -> (query, DuckDB SQL for the same rows or None)
 QUERIES = {
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
+    "op10_best_two_fit": (op10_best_two_fit, None),
 }
