@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import bpe, packing, simhash
+from cratewise.llm import bpe, langid, packing, quality, simhash
 from cratewise.session import tune
 
 
@@ -19,6 +19,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(divisor: int, remainder: int) -> Column:
+    """Whether the document is kept from training: by the CRC-32 of its id's digits."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
+
+
+def language_model(spark: SparkSession, folder: str) -> langid.Model:
+    return langid.fit(table(spark, folder, "documents").where(~held_out(4, 2)))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, language_model(spark, folder)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.Model | None:
+    return quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out(5, 0)))
+
+
+def op9_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.score(table(spark, folder, "documents"), quality_model(spark, folder))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
@@ -37,7 +60,9 @@ def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 #: name -> (query, DuckDB SQL for the same rows or None)
 QUERIES = {
+    "op2_language_id": (op2_language_id, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
+    "op9_quality_fm": (op9_quality_fm, None),
     "op10_best_two_fit": (op10_best_two_fit, None),
 }
