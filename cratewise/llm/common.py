@@ -19,18 +19,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-def keyed(df: DataFrame, key: str, value: str, kind: str = "string") -> DataFrame:
-    """(key as long, value) of the rows with a key; one row a key. The ids are read alone to see whether any repeats."""
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(value).cast(kind).alias(value)).where(F.col(key).isNotNull())
+def keyed(df: DataFrame, key: str, **kinds: str) -> DataFrame:
+    """(key as long, the columns ``kinds`` cast) of the rows with a key; one row a key. The ids are read alone to see
+    whether any repeats."""
+    rows = df.select(F.col(key).cast("long").alias(key), *(F.col(c).cast(kind).alias(c) for c, kind in kinds.items())).where(F.col(key).isNotNull())
     n, different = rows.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
     if n == different:
         return rows
-    return rows.groupBy(key).agg(F.min(F.struct(F.col(value).isNotNull().alias("filled"), value)).alias("row")).select(key, F.col(f"row.{value}").alias(value))
+    return rows.groupBy(key).agg(F.min(F.struct(*kinds)).alias("row")).select(key, *(F.col(f"row.{c}").alias(c) for c in kinds))
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of ``docs``, one row a document."""
-    return keyed(docs, "doc_id", "text")
+    return keyed(docs, "doc_id", text="string")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import bpe, langid, packing, quality, simhash
+from cratewise.llm import bpe, html, langid, packing, quality, simhash
 from cratewise.session import tune
 
 
@@ -33,6 +33,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, language_model(spark, folder)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op8_html_crf(spark: SparkSession, folder: str) -> DataFrame:
+    model = html.fit(html.labelled_pages())
+    return html.extract(table(spark, folder, "pages"), model).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def quality_model(spark: SparkSession, folder: str) -> quality.Model | None:
     return quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out(5, 0)))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_language_id": (op2_language_id, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
+    "op8_html_crf": (op8_html_crf, None),
     "op9_quality_fm": (op9_quality_fm, None),
     "op10_best_two_fit": (op10_best_two_fit, None),
 }
