@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import bpe, html, langid, packing, quality, simhash
+from cratewise.llm import bpe, html, langid, multiindex, packing, quality, simhash, topk
+from cratewise.llm.vectors import usable
 from cratewise.session import tune
 
 
@@ -19,6 +20,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = usable(table(spark, folder, "embeddings")).select("vec_id", F.transform("embedding", lambda x: F.floor(x * 1024)).alias("vector"))
+    return topk.search(vectors.where("vec_id % 100 = 0"), vectors, 10)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.vector, c.vector) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
+def op4_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = usable(table(spark, folder, "embeddings"))
+    return multiindex.search(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
 def held_out(divisor: int, remainder: int) -> Column:
     """Whether the document is kept from training: by the CRC-32 of its id's digits."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
@@ -65,7 +89,9 @@ def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 #: name -> (query, DuckDB SQL for the same rows or None)
 QUERIES = {
+    "op1_threshold_topk": (op1_threshold_topk, OP1_SQL),
     "op2_language_id": (op2_language_id, None),
+    "op4_multi_index": (op4_multi_index, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op8_html_crf": (op8_html_crf, None),
