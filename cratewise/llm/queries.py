@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import bpe, html, langid, multiindex, packing, quality, simhash, topk
+from cratewise.llm import bpe, html, langid, multiindex, packing, quality, simhash, suffix, topk
 from cratewise.llm.vectors import usable
 from cratewise.session import tune
 
@@ -38,6 +38,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     vectors = usable(table(spark, folder, "embeddings"))
     return multiindex.search(vectors.where("vec_id % 20 = 0"), vectors, 20)
@@ -91,6 +96,7 @@ def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_threshold_topk": (op1_threshold_topk, OP1_SQL),
     "op2_language_id": (op2_language_id, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_multi_index": (op4_multi_index, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
