@@ -7,7 +7,7 @@ names with an operator's own columns cannot occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,22 @@ def documents(docs: DataFrame) -> DataFrame:
     return keyed(docs, "doc_id", text="string")
 
 
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, one row a document."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema if f.name != "doc_id"}
+    return keyed(docs, "doc_id", **{"text": kinds.pop("text")}, **kinds).select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose text ``decide`` keeps; null is judged as an empty text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(decide(texts(batch)), pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``size`` bytes at most, one row at least."""
     for batch in batches:

@@ -27,7 +27,8 @@ SAMPLE_DOCS = 6_000
 WORD_BUCKETS = 1 << 14
 BINS = 10
 FACTORS = 6
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.03, 2e-5
+#: Few labels are gone over until LEAST_STEPS are done.
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 12, 500, 128, 0.03, 2e-5
 #: Score from which a text counts as good.
 GOOD = 0.3
 
@@ -118,7 +119,7 @@ def train(places: np.ndarray, values: np.ndarray, starts: np.ndarray, stats: np.
     model = Model(float(np.log((labels.sum() + 1) / ((1 - labels).sum() + 1))), np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, FACTORS)), centre, spread, np.ascontiguousarray(edges))
     own, x = model.dense(stats)
     gw, gv, gb = np.full(FEATURES, 1e-3), np.full((FEATURES, FACTORS), 1e-3), 1e-3
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)) if len(labels) >= BATCH else LEAST_STEPS)):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]

@@ -3,21 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cratewise.llm import bpe, html, langid, multiindex, packing, quality, simhash, suffix, topk
+from cratewise.llm.inputs import held_out, language_model, quality_model, table
 from cratewise.llm.vectors import usable
-from cratewise.session import tune
-
-
-#: Rows that Spark hands to a Python worker at a time: long texts make the default of 10,000 too many.
-ARROW_ROWS = 1_000
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,15 +40,6 @@ def op4_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multiindex.search(vectors.where("vec_id % 20 = 0"), vectors, 20)
 
 
-def held_out(divisor: int, remainder: int) -> Column:
-    """Whether the document is kept from training: by the CRC-32 of its id's digits."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
-
-
-def language_model(spark: SparkSession, folder: str) -> langid.Model:
-    return langid.fit(table(spark, folder, "documents").where(~held_out(4, 2)))
-
-
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return langid.identify(docs, language_model(spark, folder)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "spans")
@@ -67,10 +50,6 @@ def op8_html_crf(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"), model).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def quality_model(spark: SparkSession, folder: str) -> quality.Model | None:
-    return quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out(5, 0)))
-
-
 def op9_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score(table(spark, folder, "documents"), quality_model(spark, folder))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
@@ -103,4 +82,5 @@ QUERIES = {
     "op8_html_crf": (op8_html_crf, None),
     "op9_quality_fm": (op9_quality_fm, None),
     "op10_best_two_fit": (op10_best_two_fit, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

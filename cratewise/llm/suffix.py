@@ -331,3 +331,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return docs.join(covered(docs), "doc_id", "left").mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (one row an id) with ``text`` cut and n_chars, where there, counted anew. Letters of which only
+    some bytes are removed go as a whole; null texts stay null."""
+    names = docs.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            given = batch.column("text").to_pylist()
+            cut = [t and cut_out(t.encode(), bool(w), s)[0].decode(errors="ignore") for t, w, s in zip(given, batch.column("whole").to_pylist(), batch.column("spans").to_pylist())]
+            new = {"text": pa.array(cut, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in cut]).cast(batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    return docs.join(covered(docs.select("doc_id", "text")), "doc_id", "left").select(*names, "whole", "spans").mapInArrow(task, docs.schema)
