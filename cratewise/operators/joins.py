@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import digits_of, similarity, squash
+from cratewise.session import fixed
 
 
 def resolve_redirects(current: DataFrame, redirects: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -24,24 +25,26 @@ def resolve_redirects(current: DataFrame, redirects: DataFrame, canonical: DataF
     )
 
 
-def nearest_label(nodes: DataFrame, parents: DataFrame, labels: DataFrame, max_depth: int = 8) -> DataFrame:
+def nearest_label(nodes: DataFrame, parents: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label) of the nearest labelled node upward, ties by label; a labelled node ends its walk.
 
-    ``nodes``: node. ``parents``: child, parent. ``labels``: node, label.
+    ``nodes``: node. ``parents``: child, parent. ``labels``: node, label. Walks end where nothing new is met, so any
+    depth is reached and cycles stop.
     """
-    front = nodes.select("node", F.col("node").alias("_at")).distinct()
-    marks = labels.groupBy(F.col("node").alias("_at")).agg(F.min("label").alias("_label"))
-    found = []
-    for depth in range(max_depth + 1):
+    marks = fixed(labels.groupBy(F.col("node").alias("_at")).agg(F.min("label").alias("_label")))
+    up = parents.select(F.col("child").alias("_at"), F.col("parent").alias("_next"))
+    front = fixed(nodes.select("node", F.col("node").alias("_at")).distinct())
+    met, hits, depth = front, None, 0
+    while not front.isEmpty():
         step = front.join(marks, "_at", "left")
-        found.append(step.where("_label is not null").select("node", F.lit(depth).alias("_depth"), "_label"))
-        if depth < max_depth:
-            open_ = step.where("_label is null").select("node", "_at")
-            up = parents.select(F.col("child").alias("_at"), F.col("parent").alias("_next"))
-            front = open_.join(up, "_at").select("node", F.col("_next").alias("_at")).distinct()
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
+        found = step.where("_label is not null").select("node", F.lit(depth).alias("_depth"), "_label")
+        hits = found if hits is None else hits.unionByName(found)
+        above = step.where("_label is null").join(up, "_at").select("node", F.col("_next").alias("_at")).distinct()
+        front = fixed(above.join(met, ["node", "_at"], "left_anti"))
+        met = met.unionByName(front)
+        depth += 1
+    if hits is None:
+        return marks.select(F.col("_at").alias("node"), F.col("_label").alias("label")).limit(0)
     return hits.groupBy("node").agg(F.min_by("_label", F.struct("_depth", "_label")).alias("label"))
 
 
@@ -145,15 +148,15 @@ def similar_pairs(
 
 
 def match_entities(
-    left: DataFrame, right: DataFrame, threshold: float = 0.85, fuzzy_artists: bool = True, max_codes: int = 3
+    left: DataFrame, right: DataFrame, threshold: float = 0.85, fuzzy_artists: bool = True, max_codes: int | None = None
 ) -> DataFrame:
     """(left_id, right_id, via) best counterpart of every left track.
 
-    A shared code wins (a track's first ``max_codes`` codes, in order). Otherwise titles must reach the
+    A shared code wins, a track's codes in order (the first ``max_codes`` alone, where given). Otherwise titles must reach the
     threshold with equal numbers, an artist name must match (also by threshold), and a studio track is not
     swapped for a live one. Both sides: id, k (title key), artists (name keys), codes, live.
     """
-    lcodes = left.select("left_id", F.posexplode(F.slice("codes", 1, max_codes)).alias("_at", "code"))
+    lcodes = left.select("left_id", F.posexplode(F.slice("codes", 1, max_codes) if max_codes else F.col("codes")).alias("_at", "code"))
     rcodes = right.select("right_id", F.explode("codes").alias("code")).groupBy("code").agg(F.min("right_id").alias("right_id"))
     by_code = (
         lcodes.join(rcodes, "code").groupBy("left_id").agg(F.min_by("right_id", "_at").alias("right_id"))

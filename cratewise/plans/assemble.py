@@ -102,7 +102,7 @@ def encode(catalog: DataFrame, genres: list[str], decades: list[str], languages:
         *[F.coalesce(-at(k, "w"), F.lit(0.0)).alias(f"weight{k}") for k in range(SLOTS)],
         code(genres, F.col("primary_cluster")).alias("primary"), code(decades, F.col("decade")).alias("decade"),
         language.alias("language"), F.coalesce("year", F.lit(0)).alias("year"), "tier", "market",
-        F.least("artist_rank", F.lit(255)).alias("artist_rank"), is_holiday_title(F.col("title")).cast("int").alias("holiday"),
+        "artist_rank", is_holiday_title(F.col("title")).cast("int").alias("holiday"),
     )
     artists, titles = surrogate_ids(coded, "artist", "artist_id"), surrogate_ids(coded, "title_key", "title_id")
     return coded.join(artists, "artist").join(titles, "title_key").drop("artist", "title_key")

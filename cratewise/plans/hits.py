@@ -126,6 +126,6 @@ def hit_tiers(ranked: DataFrame, rules: HitRules = HitRules(), curated_list: boo
     tier = F.when(F.col("_hit"), 0).when(F.col("_any"), 1).otherwise(2)
     return attach(wide, any_hit, ["first_artist"]).select(
         "song", "proxy_listeners", "release_groups", "comps", "va_comps", "market",
-        F.least("artist_rank", F.lit(32767)).alias("artist_rank"), F.round("hit_pct", 6).alias("hit_pct"),
+        "artist_rank", F.round("hit_pct", 6).alias("hit_pct"),
         F.round("market_pct", 6).alias("popularity_pct"), tier.alias("tier"),
     )

@@ -124,16 +124,18 @@ def compare_variants(base: DataFrame, variant: DataFrame, keys: list[str]) -> Da
     return both.groupBy(*keys).agg(F.avg("_a").alias("base"), F.avg("_b").alias("variant"), F.avg(F.col("_b") - F.col("_a")).alias("gain"))
 
 
-def calibration_sample(tracks: DataFrame, n: int, band: int) -> DataFrame:
-    """Evenly spaced labelled tracks inside the popularity band of the ``band`` most popular unlabelled ones.
+def calibration_sample(tracks: DataFrame, n: int, band: int, least_inside: int | None = None) -> DataFrame:
+    """Evenly spaced labelled tracks inside the popularity band of the ``band`` most popular unlabelled ones; of all
+    labelled tracks where fewer than ``least_inside`` (n) lie in the band.
 
     ``tracks``: track_id, popularity, feature_source, year.
     """
     order = [F.col("popularity").desc(), F.col("track_id").asc()]
     low = tracks.where("feature_source = 'model'").select("popularity", "track_id").orderBy(*order).limit(band).agg(F.min("popularity").alias("_lo"))
     truth = tracks.where("feature_source = 'ab_direct' and year is not null").join(F.broadcast(low), F.lit(True))
-    inside = truth.where(F.col("popularity") >= F.col("_lo"))
-    pool = inside if inside.limit(n).count() >= n else truth
+    truth = truth.withColumn("_in", F.coalesce(F.col("popularity") >= F.col("_lo"), F.lit(False)))
+    held = truth.agg(F.count_if("_in").alias("_held"))
+    pool = truth.join(F.broadcast(held), F.lit(True)).where(F.col("_in") | (F.col("_held") < (n if least_inside is None else least_inside)))
     ranked = row_numbers(pool.select("track_id", "popularity"), [], order, "_rk", "_m")
     # The k-th pick sits at floor(k · m / n); a row is picked when some k lands on it.
     at = F.col("_rk") - 1

@@ -150,20 +150,20 @@ def c7(r: Roles):
     return joins.resolve_redirects(r.recording, r.redirect, r.canonical)
 
 
-_SIB_KEYS = "SELECT DISTINCT l_partkey AS recording, l_orderkey AS key FROM lineitem WHERE l_quantity < 14"
+_SIB_KEYS = "SELECT DISTINCT l_partkey AS recording, l_orderkey AS key FROM lineitem"
 
 
 @query("c8_sibling_expansion", f"""
     WITH ks AS ({_SIB_KEYS}),
     pair AS (SELECT DISTINCT s.recording % 500 AS song, b.recording FROM ks s JOIN ks b ON b.key = s.key
-             WHERE s.recording % 3 = 0 AND b.recording % 500 <> s.recording % 500)
+             WHERE b.recording % 500 <> s.recording % 500)
     SELECT song, count(*) AS siblings, CAST(sum(p_size) AS BIGINT) AS size_sum FROM pair JOIN part ON p_partkey = recording
     GROUP BY song""")
 def c8(r: Roles):
-    keys = r.lineitem.where("l_quantity < 14").select(c("l_partkey").alias("recording"), c("l_orderkey").alias("key")).distinct()
-    # Every third recording is looked up; a song owns all recordings with its number modulo 500.
+    keys = r.lineitem.select(c("l_partkey").alias("recording"), c("l_orderkey").alias("key")).distinct()
+    # A song owns all recordings with its number modulo 500.
     own = keys.select((c("recording") % 500).alias("song"), "recording").distinct()
-    asked = keys.where("recording % 3 = 0").select((c("recording") % 500).alias("song"), "key").distinct()
+    asked = keys.select((c("recording") % 500).alias("song"), "key").distinct()
     sizes = r.part.select(c("p_partkey").alias("recording"), "p_size")
     out = joins.sibling_totals(asked, own, keys, sizes, {"siblings": F.lit(1), "size_sum": c("p_size")})
     return out.where("siblings > 0")
@@ -201,10 +201,10 @@ def c11(r: Roles):
 
 
 _MATCH_SIDES = """
-    a AS (SELECT doc_id, source AS artist, trim(regexp_replace(lower(strip_accents(line)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k,
-            doc_id % 11 AS code FROM doc_title WHERE doc_id % 2 = 0),
-    b AS (SELECT doc_id AS other, source AS artist, trim(regexp_replace(lower(strip_accents(line)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k,
-            doc_id % 11 + (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1000 + doc_id END) AS code FROM doc_title WHERE doc_id % 2 = 1)"""
+    a AS (SELECT id AS doc_id, artist_credit AS artist, trim(regexp_replace(lower(strip_accents(name)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k,
+            id % 1100 AS code FROM recording WHERE id % 2 = 0),
+    b AS (SELECT id AS other, artist_credit AS artist, trim(regexp_replace(lower(strip_accents(name)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k,
+            id % 1100 + (CASE WHEN id % 5 = 0 THEN 0 ELSE 100000 + id END) AS code FROM recording WHERE id % 2 = 1)"""
 
 
 @query("c12_entity_match", f"""
@@ -218,12 +218,12 @@ _MATCH_SIDES = """
     t AS (SELECT doc_id, other, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, other) AS rn FROM s WHERE sim >= 0.85)
     SELECT doc_id, other, 'isrc' AS via FROM i UNION ALL SELECT doc_id, other, 'search' FROM t WHERE rn = 1""")
 def c12(r: Roles):
-    d = r.doc_title.select("doc_id", "source", tx.norm_text(c("line")).alias("k"))
-    code = c("doc_id") % 11
+    d = r.recording.select(c("id").alias("doc_id"), c("artist_credit").cast("string").alias("source"), tx.norm_text(c("name")).alias("k"))
+    code = c("doc_id") % 1100
     left = d.where("doc_id % 2 = 0").select(c("doc_id").alias("left_id"), "k", F.array("source").alias("artists"), F.array(code).alias("codes"), F.lit(False).alias("live"))
     right = d.where("doc_id % 2 = 1").select(
         c("doc_id").alias("right_id"), "k", F.array("source").alias("artists"),
-        F.array(code + F.when(c("doc_id") % 5 == 0, 0).otherwise(1000 + c("doc_id"))).alias("codes"), F.lit(False).alias("live"),
+        F.array(code + F.when(c("doc_id") % 5 == 0, 0).otherwise(100000 + c("doc_id"))).alias("codes"), F.lit(False).alias("live"),
     )
     found = joins.match_entities(left, right, fuzzy_artists=False)
     return found.select(c("left_id").alias("doc_id"), c("right_id").alias("other"), "via")

@@ -151,10 +151,9 @@ _LANE_SQL = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIG
 
 @query("a15_content_digest", f"""
     SELECT sha256(concat_ws('-', CAST(count(*) AS VARCHAR), {_LANE_SQL})) AS digest
-    FROM (SELECT sha256(concat_ws('|', track_id, title, genre, year, listeners)) AS h FROM tracks)""")
+    FROM (SELECT sha256(CAST(to_json({{'track_id': track_id, 'title': title, 'genre': genre, 'year': year, 'listeners': listeners}}) AS VARCHAR)) AS h FROM tracks)""")
 def a15(r: Roles):
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ("track_id", "title", "genre", "year", "listeners")])
-    return sink.content_digest(r.tracks, text)
+    return sink.content_digest(r.tracks, ["track_id", "title", "genre", "year", "listeners"])
 
 
 @query("a16_csv_rows", """
@@ -184,7 +183,7 @@ _LINES = "SELECT p.playlist_id, p.pos, t.* FROM playlist_track p JOIN track_base
 
 
 @query("a17_export_m3u", f"""
-    SELECT playlist_id, 0 AS part, '#EXTM3U' || chr(10) || '#PLAYLIST:Mix ' || playlist_id || chr(10)
+    SELECT playlist_id, '#EXTM3U' || chr(10) || '#PLAYLIST:Mix ' || playlist_id || chr(10)
       || string_agg('#EXTINF:' || length_ms // 1000 || ',' || artist || ' - ' || title || chr(10)
          || 'https://musicbrainz.org/recording/' || track_id, chr(10) ORDER BY pos) || chr(10) AS body
     FROM ({_LINES}) GROUP BY playlist_id""")
@@ -193,15 +192,16 @@ def a17(r: Roles):
 
 
 @query("a17_export_song_list", f"""
-    SELECT playlist_id, 0 AS part, string_agg(artist || ' - ' || title, chr(10) ORDER BY pos) || chr(10) AS body
+    SELECT playlist_id, string_agg(artist || ' - ' || title, chr(10) ORDER BY pos) || chr(10) AS body
     FROM ({_LINES}) GROUP BY playlist_id""")
 def a17b(r: Roles):
     return sink.playlist_documents(_playlist_rows(r), "songlist", F.lit("x"))
 
 
 @query("a17_export_xspf", f"""
-    SELECT playlist_id, 0 AS part, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10)
+    SELECT playlist_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10)
       || '<playlist version="1" xmlns="http://xspf.org/ns/0/">' || chr(10) || '  <title>A &amp; B</title>' || chr(10)
+      || '  <annotation>List &lt;' || playlist_id || '&gt;</annotation>' || chr(10)
       || '  <trackList>' || chr(10) || string_agg('    <track>' || chr(10)
       || '      <identifier>https://musicbrainz.org/recording/' || track_id || '</identifier>' || chr(10)
       || '      <identifier>urn:isrc:US' || track_id || '</identifier>' || chr(10)
@@ -212,17 +212,24 @@ def a17b(r: Roles):
       || '  </trackList>' || chr(10) || '</playlist>' || chr(10) AS body
     FROM ({_LINES}) GROUP BY playlist_id""")
 def a17c(r: Roles):
-    return sink.playlist_documents(_playlist_rows(r), "xspf", F.lit("A & B"))
+    return sink.playlist_documents(_playlist_rows(r), "xspf", F.lit("A & B"), {"description": F.concat(F.lit("List <"), F.col("playlist_id").cast("string"), F.lit(">"))})
 
 
 @query("a17_export_json", f"""
-    SELECT playlist_id, 0 AS part, '{{"title":{{"t":"Mix"}},"tracks":[' || string_agg('{{"track_id":' || track_id || ',"title":"'
-      || title || '","artist":"' || artist || '","album":' || coalesce('"' || genre || '"', 'null') || ',"year":'
+    SELECT playlist_id, '{{"format":"cratewise.playlist","version":1,"title":"Mix ' || playlist_id || '","description":"By \\"request\\"","catalog_version":"2026.1",'
+      || '"engine_version":"3","seed":"s' || playlist_id || '","length":' || count(*) || ',"taste":{{"target":[' || playlist_id % 100 || ',0],"genres":null}},"tweaks":[],"tracks":['
+      || string_agg('{{"track_id":' || track_id || ',"title":"' || title || '","artist":"' || artist || '","album":' || coalesce('"' || genre || '"', 'null') || ',"year":'
       || coalesce(CAST(year AS VARCHAR), 'null') || ',"isrcs":["US' || track_id || '"],"length_ms":' || length_ms || '}}',
       ',' ORDER BY pos) || ']}}' || chr(10) AS body
     FROM ({_LINES}) GROUP BY playlist_id""")
 def a17d(r: Roles):
-    return sink.playlist_documents(_playlist_rows(r), "json", F.lit("Mix"))
+    rows = _playlist_rows(r)
+    key = F.col("playlist_id").cast("string")
+    taste = F.struct(F.array(F.col("playlist_id") % 100, F.lit(0)).alias("target"), F.lit(None).cast("string").alias("genres"))
+    details = {"description": F.lit('By "request"'), "catalog_version": F.lit("2026.1"), "engine_version": F.lit("3"), "seed": F.concat(F.lit("s"), key),
+               "length": F.col("n"), "taste": taste, "tweaks": F.array().cast("array<string>")}
+    sized = rows.join(rows.groupBy("playlist_id").agg(F.count("*").alias("n")), "playlist_id")
+    return sink.playlist_documents(sized, "json", F.concat(F.lit("Mix "), key), details)
 
 
 @query("a18_row_rules", """
@@ -285,3 +292,10 @@ def a22(r: Roles):
     rows = F.count("*") + F.when(F.col("part") < "Brand#2", 1).otherwise(0)
     data = r.part.withColumnRenamed("p_brand", "part")
     return sink.row_count_mismatch(data, data.groupBy("part").agg(F.count("*").alias("c")).select("part", (F.col("c") + F.when(F.col("part") < "Brand#2", 1).otherwise(0)).alias("rows")))
+
+
+@query("a22_manifest", f"""
+    SELECT '2026.1' AS catalog_version, count(*) AS tracks, sha256(concat_ws('-', CAST(count(*) AS VARCHAR), {_LANE_SQL})) AS digest
+    FROM (SELECT sha256(CAST(to_json({{'track_id': track_id, 'title': title, 'genre': genre, 'year': year}}) AS VARCHAR)) AS h FROM tracks)""")
+def a22b(r: Roles):
+    return sink.manifest(r.tracks, "2026.1", ["track_id", "title", "genre", "year"])

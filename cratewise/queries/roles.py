@@ -161,8 +161,8 @@ ROLE_SQL: dict[str, str] = {
           ('p3', 'tempo', CAST(-0.5 AS DOUBLE), CAST(0.5 AS DOUBLE))) AS t(persona, k, lo, hi)""",
     # --- free text
     "doc_title": """
-        SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS line,
-               concat(split_part(text, chr(10), 1), CASE doc_id % 8 WHEN 0 THEN ' (Live at Town)'
+        SELECT doc_id, source, lang,
+               concat(text, CASE doc_id % 8 WHEN 0 THEN ' (Live at Town)'
                  WHEN 1 THEN ' - 2011 Remaster' WHEN 2 THEN ' feat. Ana & Bo' WHEN 3 THEN ' [Radio Edit]'
                  WHEN 4 THEN ' (Karaoke Version)' WHEN 5 THEN ' - Live, 1999' ELSE '' END) AS title
         FROM documents""",
@@ -209,7 +209,7 @@ ROLE_SQL: dict[str, str] = {
     "release_event": """
         SELECT CAST(l_suppkey AS INT) AS release, CASE WHEN l_orderkey % 3 <> 0
                THEN CAST(1950 + l_orderkey % 73 + l_suppkey % 20 AS INT) END AS year
-        FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 < 7""",
+        FROM lineitem""",
     "release": """
         SELECT CAST(s_suppkey AS INT) AS id, concat('e', CAST(s_suppkey AS STRING)) AS gid, s_name AS name,
                CAST(s_suppkey % 60 AS INT) AS release_group,
@@ -223,17 +223,17 @@ ROLE_SQL: dict[str, str] = {
         SELECT id AS release_group, CASE WHEN id % 3 = 0 THEN 'compilation' ELSE 'interview' END AS type
         FROM release_group WHERE id % 3 = 0 OR id % 17 = 1""",
     "rec_work": """
-        SELECT DISTINCT CAST(l_partkey AS INT) AS recording, CAST(l_orderkey % 997 AS INT) AS work
-        FROM lineitem WHERE l_linenumber = 2 AND l_quantity < 9""",
+        SELECT DISTINCT CAST(l_partkey AS INT) AS recording, CAST(l_orderkey AS INT) AS work
+        FROM lineitem WHERE l_partkey % 5 <> 2""",
     "work_lang": """
-        SELECT DISTINCT CAST(l_orderkey % 997 AS INT) AS work,
-               CASE l_orderkey % 997 % 5 WHEN 0 THEN 'heb' WHEN 1 THEN 'spa' WHEN 2 THEN 'zxx' WHEN 3 THEN 'deu'
+        SELECT CAST(o_orderkey AS INT) AS work,
+               CASE o_orderkey % 5 WHEN 0 THEN 'heb' WHEN 1 THEN 'spa' WHEN 2 THEN 'zxx' WHEN 3 THEN 'deu'
                     ELSE 'eng' END AS lang
-        FROM lineitem""",
+        FROM orders""",
     "isrc": """
         SELECT DISTINCT CAST(l_partkey AS INT) AS recording,
-               concat('USABC', lpad(CAST(l_orderkey % 4001 AS STRING), 7, '0')) AS isrc
-        FROM lineitem WHERE l_linenumber = 3 AND l_quantity < 15""",
+               concat('USABC', lpad(CAST(l_orderkey AS STRING), 7, '0')) AS isrc
+        FROM lineitem WHERE l_partkey % 4 <> 2""",
     "recording_tag": """
         SELECT CAST(p_partkey AS INT) AS entity, regexp_extract(p_name, '^([a-z]+)', 1) AS tag,
                CAST(1 + p_size % 5 AS INT) AS votes FROM part WHERE p_partkey % 3 = 0""",
@@ -244,7 +244,7 @@ ROLE_SQL: dict[str, str] = {
     "artist_tag": """
         SELECT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS entity,
                regexp_extract(p_name, '([a-z]+)$', 1) AS tag, CAST(count(*) AS INT) AS votes
-        FROM part GROUP BY 1, 2""",
+        FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 3 <> 0 GROUP BY 1, 2""",
     "tag_map": """
         SELECT * FROM (VALUES ('small', 'SMALL', 1.0), ('red', 'PROMO', 0.8), ('blue', 'ECONOMY', 0.9),
           ('hot', 'LARGE', 0.7), ('hot', 'MEDIUM', 0.3), ('large', 'LARGE', 1.0), ('economy', 'ECONOMY', 1.0),
@@ -264,11 +264,11 @@ ROLE_SQL: dict[str, str] = {
         SELECT CASE WHEN l_partkey % 11 = 0 THEN concat('mr', lpad(CAST(l_partkey AS STRING), 9, '0'))
                     ELSE concat('r', lpad(CAST(l_partkey AS STRING), 9, '0')) END AS mbid,
                {prob_sql()}
-        FROM lineitem WHERE l_partkey % 4 <> 1 AND l_linenumber = 4 AND l_quantity < 26""",
+        FROM lineitem WHERE l_partkey % 4 <> 1""",
     "ab_rhythm": """
         SELECT concat('r', lpad(CAST(l_partkey AS STRING), 9, '0')) AS mbid,
                CAST(l_orderkey % 180 + 40 AS DOUBLE) AS bpm
-        FROM lineitem WHERE l_partkey % 4 <> 1 AND l_linenumber = 4""",
+        FROM lineitem WHERE l_partkey % 4 <> 1""",
     "pop_cache": """
         SELECT gid, CASE WHEN u % 9 <> 0 THEN u END AS users, CASE WHEN u % 9 <> 0 THEN 3 * u END AS listens
         FROM (SELECT gid, CAST(id * 31 % 5003 AS BIGINT) AS u FROM recording WHERE id % 3 <> 1

@@ -125,4 +125,5 @@ def scan_catalog(spark: SparkSession, folder: str, schema: T.StructType) -> Data
     table = jvm.org.apache.hadoop.fs.Path(base, "tracks.parquet")
     if fs.exists(table):
         return spark.read.schema(schema).parquet(table.toString())
-    return spark.read.schema(schema).json(f"{folder}/tracks.jsonl")
+    lines = next((name for name in ("tracks.jsonl.gz", "tracks.jsonl") if fs.exists(jvm.org.apache.hadoop.fs.Path(base, name))), "tracks.jsonl")
+    return spark.read.schema(schema).json(f"{folder}/{lines}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,8 +10,6 @@ from cratewise.functions.text import csv_field, one_line, xml_text
 from cratewise.session import shuffle_width
 
 _LANES = 8  # 8 × 32 bits of each row hash
-#: Lines per document part; a playlist within the length limit is one part.
-PART_LINES = 1000
 
 
 def write_catalog(df: DataFrame, path: str, key: str = "track_id", rows_per_file: int = 5_000_000) -> None:
@@ -45,12 +43,14 @@ def write_json_lines(df: DataFrame, path: str, key: str, **rounding) -> None:
     )
 
 
-def content_digest(df: DataFrame, row_text: Column, name: str = "digest") -> DataFrame:
+def content_digest(df: DataFrame, columns: list[str] | None = None, name: str = "digest") -> DataFrame:
     """One digest of the whole table: row hashes added lane by lane, then hashed once more.
 
-    Addition does not depend on row order, so the table is neither sorted nor brought together; rows
-    carry their unique id in ``row_text``, so equal content still means equal digest.
+    A row's text is its JSON with nulls, so rows that differ in any column, or in which column is null, differ.
+    Addition does not depend on row order, so the table is neither sorted nor brought together; with a unique id
+    among the columns equal content still means equal digest.
     """
+    row_text = F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"})
     rows = df.select(F.sha2(row_text, 256).alias("_h"))
     lane = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
     sums = rows.agg(F.count("*").alias("_n"), *[F.sum(lane(i)).alias(f"_l{i}") for i in range(_LANES)])
@@ -58,12 +58,19 @@ def content_digest(df: DataFrame, row_text: Column, name: str = "digest") -> Dat
     return sums.select(F.sha2(F.concat_ws("-", F.col("_n").cast("string"), *parts), 256).alias(name))
 
 
-def manifest(df: DataFrame, version: str, row_text: Column) -> DataFrame:
+def manifest(df: DataFrame, version: str, columns: list[str] | None = None) -> DataFrame:
+    """(catalog_version, tracks, digest): one row."""
     count = df.agg(F.count("*").alias("tracks")).withColumn("_one", F.lit(1))
-    digest = content_digest(df, row_text).withColumn("_one", F.lit(1))
+    digest = content_digest(df, columns).withColumn("_one", F.lit(1))
     return count.join(digest, "_one").select(F.lit(version).alias("catalog_version"), "tracks", "digest")
 
 
+def file_sizes(written: DataFrame) -> DataFrame:
+    """(file, bytes, rows) of the files a read table consists of; names without folder."""
+    files = written.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return files.groupBy("file", "bytes").agg(F.count("*").alias("rows"))
+
+
 def row_count_mismatch(df: DataFrame, expected: DataFrame, key: str = "part") -> DataFrame:
     """Parts whose row count differs from the manifest's ``rows``."""
     have = df.groupBy(key).agg(F.count("*").alias("found"))
@@ -120,33 +127,39 @@ def json_entry() -> Column:
 
 
 ENTRIES = {"m3u": m3u_entry, "xspf": xspf_entry, "songlist": song_line, "json": json_entry}
-_HEAD = {
-    "m3u": lambda title: F.concat(F.lit("#EXTM3U\n#PLAYLIST:"), one_line(title), F.lit("\n")),
-    "xspf": lambda title: F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>'),
-        xml_text(one_line(title)), F.lit("</title>\n  <trackList>\n"),
-    ),
-    "songlist": lambda title: F.lit(""),
-    "json": lambda title: F.concat(F.lit('{"title":'), F.to_json(F.struct(title.alias("t"))), F.lit(',"tracks":[')),
-}
+#: Name and version of the JSON document's format.
+JSON_FORMAT, JSON_VERSION = "cratewise.playlist", 1
 _TAIL = {"m3u": "\n", "xspf": "\n  </trackList>\n</playlist>\n", "songlist": "\n", "json": "]}\n"}
 _SEPARATOR = {"m3u": "\n", "xspf": "\n", "songlist": "\n", "json": ","}
 
 
-def playlist_documents(tracks: DataFrame, kind: str, title: Column) -> DataFrame:
-    """(playlist_id, part, body) documents in play order; parts are bounded, so no list grows unbounded."""
-    rows = tracks.select(
-        "playlist_id", "pos", F.floor((F.col("pos") - 1) / PART_LINES).cast("int").alias("part"),
-        title.alias("title"), ENTRIES[kind]().alias("line"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    parts = rows.groupBy("playlist_id", "part").agg(ordered.alias("_l"), F.first("title").alias("title"))
-    last = Window.partitionBy("playlist_id")  # few parts per playlist
-    body = F.array_join(F.transform("_l", lambda x: x["line"]), _SEPARATOR[kind])
-    head = F.when(F.col("part") == 0, _HEAD[kind](F.col("title"))).otherwise(F.lit(""))
-    tail = F.when(F.col("part") == F.max("part").over(last), F.lit(_TAIL[kind])).otherwise(F.lit(_SEPARATOR[kind]))
-    return parts.select("playlist_id", "part", F.concat(head, body, tail).alias("body"))
+def _head(kind: str, title: Column, details: dict[str, Column]) -> Column:
+    if kind == "m3u":
+        return F.concat(F.lit("#EXTM3U\n#PLAYLIST:"), one_line(title), F.lit("\n"))
+    if kind == "xspf":
+        note = F.concat(F.lit("  <annotation>"), xml_text(details["description"]), F.lit("</annotation>\n")) if "description" in details else F.lit("")
+        return F.concat(
+            F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>'),
+            xml_text(one_line(title)), F.lit("</title>\n"), F.coalesce(note, F.lit("")), F.lit("  <trackList>\n"),
+        )
+    if kind == "json":
+        fields = F.struct(F.lit(JSON_FORMAT).alias("format"), F.lit(JSON_VERSION).alias("version"), title.alias("title"), *(c.alias(n) for n, c in details.items()))
+        return F.concat(F.regexp_replace(F.to_json(fields, {"ignoreNullFields": "false"}), r"\}$", ""), F.lit(',"tracks":['))
+    return F.lit("")
+
+
+def playlist_documents(tracks: DataFrame, kind: str, title: Column, details: dict[str, Column] | None = None) -> DataFrame:
+    """(playlist_id, body): one whole document a playlist, its lines in play order.
+
+    ``details``: further columns of the playlist, same on all its rows. JSON writes them after the title in the order
+    given (description, catalog_version, engine_version, seed, length, taste, tweaks); XSPF writes description.
+    """
+    rows = tracks.select("playlist_id", "pos", _head(kind, title, details or {}).alias("head"), ENTRIES[kind]().alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    whole = rows.groupBy("playlist_id").agg(F.first("head").alias("_h"), F.array_join(lines, _SEPARATOR[kind]).alias("_b"))
+    return whole.select("playlist_id", F.concat("_h", "_b", F.lit(_TAIL[kind])).alias("body"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    documents.write.partitionBy("playlist_id").text(path)
+def write_documents(documents: DataFrame, path: str, buckets: int = 64) -> None:
+    """One row a playlist, in ``buckets`` folders by a hash of the id: a reader of one playlist opens one folder."""
+    documents.withColumn("bucket", F.pmod(F.xxhash64("playlist_id"), F.lit(buckets))).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)

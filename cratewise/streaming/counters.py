@@ -94,8 +94,7 @@ def keep_newest(stream_counts: DataFrame, path: str, window: str, n: int, checkp
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        batch.write.mode("overwrite").partitionBy(window).parquet(path)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(window).parquet(path)
         jvm = spark.sparkContext._jvm
         base = jvm.org.apache.hadoop.fs.Path(path)
         fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ IDLE_MS = 60_000  # a bucket left alone for a minute is full again
 
 
 def take(tokens: float, last_ms: int, now_ms: int, per_minute: float) -> tuple[float, int]:
-    """(tokens left, seconds to wait): 0 seconds when the request is allowed."""
+    """(tokens left, seconds to wait): 0 seconds when the request is allowed. A late request adds no tokens and takes
+    none for the time it is late."""
     rate = per_minute / IDLE_MS
-    tokens = min(per_minute, tokens + (now_ms - last_ms) * rate)
+    tokens = min(per_minute, tokens + max(0, now_ms - last_ms) * rate)
     if tokens >= 1:
         return tokens - 1, 0
     return tokens, max(1, math.ceil((1 - tokens) / rate / 1000 - 1e-9))
@@ -66,13 +68,14 @@ def stream_waits(requests: DataFrame, key: str, ts: str, per_minute: float, dela
 
         def handleInputRows(self, k, rows, timer_values):  # noqa: N802
             tokens, last = self.state.get() if self.state.exists() else (per_minute, None)
-            for pdf in rows:
-                out = []
-                for now in sorted(pdf[ts].astype("datetime64[ms]").astype("int64")):
-                    tokens, wait = take(tokens, now if last is None else last, now, per_minute)
-                    last = now if last is None else max(last, now)
-                    out.append((k[0], now, wait))
-                yield pd.DataFrame(out, columns=[key, "at", "wait"])
+            # All of the trigger's requests of the key, in time order: chunks come in any order.
+            times = np.sort(np.concatenate([pdf[ts].to_numpy().astype("datetime64[ms]").astype("int64") for pdf in rows]))
+            waits = []
+            for now in times.tolist():
+                tokens, wait = take(tokens, now if last is None else last, now, per_minute)
+                last = now if last is None else max(last, now)
+                waits.append(wait)
+            yield pd.DataFrame({key: k[0], "at": times, "wait": waits})
             self.state.update((float(tokens), int(last)))
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)

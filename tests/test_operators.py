@@ -107,3 +107,20 @@ def test_entity_match_rules(spark):
     ], "right_id int, k string, artists array<string>, codes array<string>, live boolean")
     got = {r["left_id"]: (r["right_id"], r["via"]) for r in joins.match_entities(left, right).collect()}
     assert got == {1: (10, "isrc"), 2: (15, "search"), 4: (15, "search")}
+
+
+def test_repair_removes_neighbours():
+    import numpy as np
+
+    from cratewise.plans.playlist import _repair
+
+    rng = np.random.default_rng(3)
+    clashes = lambda seq, before: sum(a == b for a, b in zip([before, *seq], seq))
+    for _ in range(300):
+        n = int(rng.integers(1, 12))
+        artist, before = rng.integers(0, 5, n), int(rng.integers(-1, 5))
+        order = rng.permutation(n).tolist()
+        fixed_ = _repair(order, artist, before)
+        assert sorted(fixed_) == sorted(order)
+        assert clashes(artist[fixed_].tolist(), before) <= clashes(artist[order].tolist(), before)
+    assert clashes(np.array([0, 0, 1, 2, 2, 3])[_repair([0, 1, 2, 3, 4, 5], np.array([0, 0, 1, 2, 2, 3]))].tolist(), -1) == 0

@@ -68,3 +68,10 @@ def test_attribution_expires_after_a_week(spark):
     df = spark.createDataFrame(rows, "id int, user int, s long, tag string").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["id"]: r["source"] for r in attribution.current_tag(df, "user", "ts", "id", "tag").collect()}
     assert got == {1: "x", 2: "x", 3: None, 4: "ig", 5: "ig", 6: None}
+
+
+def test_late_requests_take_no_tokens():
+    from cratewise.streaming.limits import take
+
+    assert take(2.0, 60_000, 20_000, 3.0) == (1.0, 0)
+    assert take(2.0, 60_000, 60_000, 3.0) == (1.0, 0)
