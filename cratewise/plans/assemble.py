@@ -78,7 +78,7 @@ def build_catalog(sel: DataFrame, raw: DataFrame, hits: DataFrame, genre: DataFr
     empty = F.create_map().cast("map<string,double>")
     wide = wide.withColumns({
         "track_id": F.col("gid"), "clusters": F.coalesce("clusters", empty), "catalog_version": F.lit(version),
-        "mainstream": F.round(2 * F.col("popularity_pct") - 1, 4), "selected_via": F.col("via"),
+        "mainstream": F.round(2 * F.col("popularity_pct").cast("decimal(8,6)") - 1, 4).cast("double"), "selected_via": F.col("via"),
     })
     return wide.select(*CATALOG_COLUMNS)
 

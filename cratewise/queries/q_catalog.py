@@ -222,9 +222,9 @@ def i5(r: Roles):
     return r.st_source
 
 
-@query("i6_classifier_evidence", "SELECT song, cluster, round(CAST(b AS DOUBLE), 5) AS b FROM st_evidence_ab")
+@query("i6_classifier_evidence", "SELECT song, cluster, CAST(round(CAST(b AS DECIMAL(24, 10)), 5) AS DOUBLE) AS b FROM st_evidence_ab")
 def i6(r: Roles):
-    return r.st_evidence_ab.withColumn("b", F.round(c("b").cast("double"), 5))
+    return r.st_evidence_ab.withColumn("b", F.round(c("b").cast("decimal(24,10)"), 5).cast("double"))
 
 
 @query("i7_cluster_weights", "SELECT * FROM st_cluster")
@@ -563,7 +563,7 @@ def i16(r: Roles):
 
 
 @query("i23_catalog_assembly", """
-    SELECT s.gid AS track_id, s.title, s.year, s.decade, s.language, g.primary_cluster, h.tier, h.artist_rank, h.market, round(2 * h.popularity_pct - 1, 4) AS mainstream,
+    SELECT s.gid AS track_id, s.title, s.year, s.decade, s.language, g.primary_cluster, h.tier, h.artist_rank, h.market, CAST(round(2 * CAST(h.popularity_pct AS DECIMAL(8, 6)) - 1, 4) AS DOUBLE) AS mainstream,
            CASE WHEN d.song IS NOT NULL THEN 'ab_direct' WHEN b.song IS NOT NULL THEN 'ab_sibling' ELSE 'model' END AS feature_source, s.via AS selected_via,
            coalesce((SELECT string_agg(k.cluster || '=' || CAST(k.w AS VARCHAR), ',' ORDER BY o.ord) FROM st_cluster k JOIN o_dim o ON o.cluster = k.cluster WHERE k.song = s.song), '') AS clusters,
            CAST(round(CAST(round(CASE WHEN x.tag_mean IS NULL THEN x.prior ELSE 0.5 * x.tag_mean + 0.5 * x.prior END, 9) AS DECIMAL(18,9)), 4) AS DOUBLE) AS raw_complexity

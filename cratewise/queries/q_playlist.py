@@ -185,10 +185,19 @@ def k8b(r: Roles):
     return drawn.groupBy("request", "cell").agg(F.count("*").alias("n"))
 
 
+#: What is asked of generation: every tenth request wants more than the catalog's artists can give under their cap,
+#: and every fiftieth has a length that is not allowed.
+ROLE_SQL["k_ask"] = """
+    SELECT request, CAST(CASE WHEN request % 50 = 7 THEN 1500 WHEN request % 10 = 0 THEN 60 ELSE length END AS INT) AS length, seed FROM requests"""
+oracle_stage("o_made", """
+    SELECT request, CASE WHEN length = 60 THEN 2 * (SELECT count(DISTINCT artist) FROM k_track) ELSE length END AS n, length FROM k_ask WHERE length <= 1000""")
+
+
 @stage("k_made")
 def _made(r: Roles):
-    picks, warnings = pl.generate(r.requests, r.taste_scalar, r.taste_group, r.k_tracks, DIMS)
-    return picks, warnings, r.keep(pl.sequence(picks, r.k_tracks))
+    picks, warnings = pl.generate(r.k_ask, r.taste_scalar, r.taste_group, r.k_tracks, DIMS)
+    picks = r.keep(picks)
+    return picks, r.keep(warnings), r.keep(pl.sequence(picks, r.k_tracks))
 
 
 @query("k9_diverse_picks")
@@ -196,7 +205,10 @@ def k9(r: Roles):
     return r.k_made[0]
 
 
-@query("k11_relaxation_warnings")
+@query("k11_relaxation_warnings", """
+    WITH s AS (SELECT f.request, q.ceiling, f.hg OR f.hd AS filtered, f.hard IS NOT NULL OR f.avoid <> '' AS languages FROM o_flag f JOIN o_req q ON q.request = f.request JOIN k_ask a ON a.request = f.request WHERE a.length = 60)
+    SELECT request, 'catalog_exhausted' AS warning FROM s UNION ALL SELECT request, 'hits_relaxed' FROM s WHERE ceiling < 2 UNION ALL SELECT request, 'prefilter_relaxed' FROM s WHERE filtered
+    UNION ALL SELECT request, 'language_relaxed' FROM s WHERE languages UNION ALL SELECT request, 'invalid_length' FROM k_ask WHERE length > 1000""")
 def k11(r: Roles):
     return r.k_made[1]
 
@@ -206,11 +218,28 @@ def k13(r: Roles):
     return r.k_made[2]
 
 
-@query("k10_no_violations_generated", "SELECT request AS playlist_id, 'x' AS rule, CAST(0 AS BIGINT) AS at FROM requests WHERE false")
+def _broken(r: Roles, playlists, lengths):
+    """(playlist_id, n tracks, broken rules without length, length rules) of generated playlists."""
+    rows = playlists.join(r.k_tracks.select("track_id", "artist", "title_key"), "track_id")
+    found = pl.violations(rows, lengths).groupBy("playlist_id").agg(F.count_if(c("rule") != "length").alias("broken"), F.count_if(c("rule") == "length").alias("wrong_length"))
+    sizes = rows.groupBy("playlist_id").agg(F.count("*").alias("n"))
+    return sizes.join(found, "playlist_id", "left").select("playlist_id", "n", F.coalesce("broken", F.lit(0)).alias("broken"), F.coalesce("wrong_length", F.lit(0)).alias("wrong_length"))
+
+
+@query("k10_no_violations_generated", "SELECT request AS playlist_id, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS broken, CAST(n <> length AS BIGINT) AS wrong_length FROM o_made")
 def k10(r: Roles):
-    rows = r.k_made[2].join(r.k_tracks.select("track_id", "artist", "title_key"), "track_id").withColumnRenamed("request", "playlist_id")
-    found = pl.violations(rows, r.requests.select(c("request").alias("playlist_id"), "length"))
-    return found.where("rule in ('duplicate_track', 'artist_cap', 'duplicate_title')")
+    return _broken(r, r.k_made[2].withColumnRenamed("request", "playlist_id"), r.k_ask.select(c("request").alias("playlist_id"), "length"))
+
+
+@query("k15_next_page", "SELECT request AS playlist_id, CAST(10 + length AS BIGINT) AS n, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS wrong_length FROM requests")
+def k15b(r: Roles):
+    """A second page of every request after ten tracks of the first: both together keep the rules of one playlist."""
+    first, _ = pl.generate(r.requests.withColumn("length", F.lit(10)), r.taste_scalar, r.taste_group, r.k_tracks, DIMS)
+    first = r.keep(pl.sequence(first, r.k_tracks))
+    more, _ = pl.generate(r.requests.withColumn("seed", F.concat("seed", F.lit("2"))), r.taste_scalar, r.taste_group, r.k_tracks, DIMS, previous=first)
+    page = pl.sequence(more, r.k_tracks, previous=first)
+    both = first.unionByName(page.withColumn("pos", c("pos") + 10)).withColumnRenamed("request", "playlist_id")
+    return _broken(r, both, r.requests.select(c("request").alias("playlist_id"), (c("length") + 10).alias("length")))
 
 
 @query("k12_energy_targets", """
@@ -270,7 +299,7 @@ def k17(r: Roles):
     listed = r.k_pool.join(r.k_tracks.select("track_id", "artist", "title_key"), "track_id")
     from cratewise.operators.ranking import row_numbers
 
-    ranked = row_numbers(listed, ["request"], [c("cell").asc(), c("rk").asc()], "pos", "_n").where("pos <= 150")
+    ranked = row_numbers(listed, ["request"], [c("cell").asc(), c("rk").asc()], "pos", "_n")
     liked = ranked.where("track_id % 4 = 0").select("request", "pos", c("track_id").alias("pref"))
     shortlist = ranked.select("request", "pos", "artist", "title_key", "cell", "score")
     return pl.choose_from_shortlist(shortlist, liked, r.requests.select("request", c("length").alias("n")))
@@ -287,10 +316,10 @@ def k18(r: Roles):
 
 @query("k19_session_seeds", """
     SELECT session_id, salt, substr(sha256(s || '|' || salt), 1, 16) AS seed, substr(sha256(substr(sha256(s || '|' || salt), 1, 16) || ':swap:1'), 1, 16) AS swap_seed
-    FROM (SELECT session_id, string_agg(question_id || '=' || choice, ',' ORDER BY seq) AS s FROM early GROUP BY 1), (VALUES (0), (1)) AS v(salt)""")
+    FROM (SELECT session_id, string_agg(question_id || '=' || choice, ',' ORDER BY seq) AS s FROM answers GROUP BY 1), (VALUES (0), (1)) AS v(salt)""")
 def k19(r: Roles):
     log = F.array_sort(F.collect_list(F.struct("seq", F.concat("question_id", F.lit("="), "choice").alias("t"))))
-    path = r.early.groupBy("session_id").agg(F.array_join(F.transform(log, lambda e: e["t"]), ",").alias("s"))
+    path = r.answers.groupBy("session_id").agg(F.array_join(F.transform(log, lambda e: e["t"]), ",").alias("s"))
     rows = path.select("session_id", "s", F.explode(F.array(F.lit(0), F.lit(1))).alias("salt"))
     seed = seed_of(c("s"), c("salt").cast("string"))
     return rows.select("session_id", "salt", seed.alias("seed"), follow_up_seed(seed, "swap", F.lit(1)).alias("swap_seed"))

@@ -221,65 +221,49 @@ def _bank(r: Roles):
     )
 
 
-#: Sessions in their first answers: the log up to a position that differs by user.
-oracle_stage("early", """
-    SELECT session_id, seq, question_id, choice FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM answers) WHERE i <= 3 + session_id % 25""")
-
-
-@stage("early")
-def _early(r: Roles):
-    from cratewise.operators.ranking import row_numbers
-
-    ranked = row_numbers(r.answers, ["session_id"], [c("seq").asc()], "i", "_n")
-    return r.keep(ranked.where(c("i") <= 3 + c("session_id") % 25).select("session_id", "seq", "question_id", "choice"))
-
-
-stage("early_sums")(lambda r: r.keep(taste.profile_sums(taste.answer_effects(r.early, r.choices))))
-oracle_stage("early_sums", """
-    SELECT a.session_id, o.grp, o.k, sum(o.w * o.v) AS s, sum(o.w) AS w, sum(abs(o.w * o.v)) AS evidence FROM early a JOIN o_choice o ON o.question_id = a.question_id AND o.choice = a.choice GROUP BY 1, 2, 3""")
 oracle_stage("o_fam", "SELECT question_id, coalesce(family, question_id) AS canonical FROM questions")
-oracle_stage("o_asked", "SELECT a.session_id, f.canonical, arg_max(a.choice, a.seq) AS choice FROM early a JOIN o_fam f ON f.question_id = a.question_id GROUP BY 1, 2")
+oracle_stage("o_asked", "SELECT a.session_id, f.canonical, arg_max(a.choice, a.seq) AS choice FROM answers a JOIN o_fam f ON f.question_id = a.question_id GROUP BY 1, 2")
 oracle_stage("o_eligible", """
-    SELECT s.session_id, q.question_id, q.pack, q.pri, q.weight FROM (SELECT DISTINCT session_id FROM early) s CROSS JOIN questions q
+    SELECT s.session_id, q.question_id, q.pack, q.pri, q.weight FROM (SELECT DISTINCT session_id FROM answers) s CROSS JOIN questions q
     WHERE q.family IS NULL AND NOT EXISTS (SELECT 1 FROM o_asked a WHERE a.session_id = s.session_id AND a.canonical = q.question_id)
       AND ((q.unlock_question IS NULL AND q.unlock_genre IS NULL)
         OR EXISTS (SELECT 1 FROM o_asked a JOIN o_fam f ON f.canonical = a.canonical WHERE a.session_id = s.session_id AND f.question_id = q.unlock_question AND a.choice IN (q.unlock_side, 'both'))
-        OR q.unlock_genre IN (SELECT k FROM (SELECT e.session_id AS sid, e.k, row_number() OVER (PARTITION BY e.session_id ORDER BY e.s DESC, d.ord) AS i FROM early_sums e
+        OR q.unlock_genre IN (SELECT k FROM (SELECT e.session_id AS sid, e.k, row_number() OVER (PARTITION BY e.session_id ORDER BY e.s DESC, d.ord) AS i FROM st_sums e
              JOIN dims d ON d.grp = 'genres' AND d.k = e.k WHERE e.grp = 'genres' AND e.s > 0) WHERE i <= 3 AND sid = s.session_id))""")
 oracle_stage("o_diff", "SELECT question_id, grp, k, sum(CASE WHEN side = 'a' THEN v ELSE -v END) AS d FROM effects GROUP BY 1, 2, 3")
 oracle_stage("o_gain", """
     SELECT e.session_id, e.question_id, sum(abs(d.d) * (CASE WHEN d.grp = 'scalar' THEN 1 / (1 + coalesce(s.w, 0)) ELSE 1 / (1 + coalesce(g.ev, 0)) END) * e.weight * p.pack_weight) * (0.5 + any_value(e.pri) / 100) AS raw, count(*) AS nk
-    FROM o_eligible e JOIN packs p ON p.pack = e.pack JOIN o_diff d ON d.question_id = e.question_id LEFT JOIN early_sums s ON s.session_id = e.session_id AND s.k = d.k
-    LEFT JOIN (SELECT session_id, grp, sum(evidence) AS ev FROM early_sums GROUP BY 1, 2) g ON g.session_id = e.session_id AND g.grp = d.grp GROUP BY 1, 2""")
+    FROM o_eligible e JOIN packs p ON p.pack = e.pack JOIN o_diff d ON d.question_id = e.question_id LEFT JOIN st_sums s ON s.session_id = e.session_id AND s.k = d.k
+    LEFT JOIN (SELECT session_id, grp, sum(evidence) AS ev FROM st_sums GROUP BY 1, 2) g ON g.session_id = e.session_id AND g.grp = d.grp GROUP BY 1, 2""")
 oracle_stage("o_duel", """
-    WITH k AS (SELECT s.session_id, s.k, s.s / t.top AS c FROM early_sums s JOIN (SELECT session_id, max(s) AS top FROM early_sums WHERE grp = 'genres' GROUP BY 1) t ON t.session_id = s.session_id WHERE s.grp = 'genres' AND s.s >= 1)
+    WITH k AS (SELECT s.session_id, s.k, s.s / t.top AS c FROM st_sums s JOIN (SELECT session_id, max(s) AS top FROM st_sums WHERE grp = 'genres' GROUP BY 1) t ON t.session_id = s.session_id WHERE s.grp = 'genres' AND s.s >= 1)
     SELECT e.session_id, e.question_id, max(a.c * b.c * least(abs(x.d), abs(y.d))) AS duel FROM o_eligible e JOIN o_diff x ON x.question_id = e.question_id AND x.grp = 'genres' JOIN o_diff y ON y.question_id = e.question_id AND y.grp = 'genres' AND x.d > 0 AND y.d < 0
     JOIN k a ON a.session_id = e.session_id AND a.k = x.k JOIN k b ON b.session_id = e.session_id AND b.k = y.k GROUP BY 1, 2""")
 
 
 @query("j12_eligible_questions", "SELECT session_id, question_id FROM o_eligible")
 def j12(r: Roles):
-    return qs.eligible_questions(r.early, r.early_sums, r.bank)
+    return qs.eligible_questions(r.answers, r.st_sums, r.bank)
 
 
 @query("j13_gain_score", "SELECT session_id, question_id, round(raw / nk, 11) AS gain FROM o_gain")
 def j13(r: Roles):
-    pairs = qs.eligible_questions(r.early, r.early_sums, r.bank)
-    return qs.gain_scores(pairs, r.early_sums, r.bank).select("session_id", "question_id", F.round("gain", 11).alias("gain"))
+    pairs = qs.eligible_questions(r.answers, r.st_sums, r.bank)
+    return qs.gain_scores(pairs, r.st_sums, r.bank).select("session_id", "question_id", F.round("gain", 11).alias("gain"))
 
 
 @query("j14_duel_value", "SELECT session_id, question_id, round(duel, 7) AS duel FROM o_duel")
 def j14(r: Roles):
-    pairs = qs.eligible_questions(r.early, r.early_sums, r.bank)
-    return qs.duel_values(pairs, r.early_sums, r.bank).where("duel > 0").withColumn("duel", F.round("duel", 7))
+    pairs = qs.eligible_questions(r.answers, r.st_sums, r.bank)
+    return qs.duel_values(pairs, r.st_sums, r.bank).where("duel > 0").withColumn("duel", F.round("duel", 7))
 
 
 @query("j15_next_question", """
-    WITH p AS (SELECT session_id, count(*) + 1 AS pos FROM early GROUP BY 1),
+    WITH p AS (SELECT session_id, count(*) + 1 AS pos FROM answers GROUP BY 1),
     b AS (SELECT e.*, p.pos, CASE WHEN pos <= 3 THEN 'hook' WHEN pos % 4 = 0 THEN 'vibe' WHEN pos % 10 = 7 THEN 'spicy' WHEN pos % 4 = 1 AND pos <= 20 THEN 'explore' ELSE 'main' END AS slot,
-        CASE WHEN e.pack = 'deep' AND pos IN (30, 70) AND (SELECT count(*) FROM early a JOIN questions q ON q.question_id = a.question_id WHERE a.session_id = e.session_id AND q.pack = 'deep') <= (CASE pos WHEN 30 THEN 0 ELSE 1 END) THEN true ELSE false END AS led,
+        CASE WHEN e.pack = 'deep' AND pos IN (30, 70) AND (SELECT count(*) FROM answers a JOIN questions q ON q.question_id = a.question_id WHERE a.session_id = e.session_id AND q.pack = 'deep') <= (CASE pos WHEN 30 THEN 0 ELSE 1 END) THEN true ELSE false END AS led,
         EXISTS (SELECT 1 FROM o_diff d WHERE d.question_id = e.question_id AND d.grp IN ('genres', 'decades') AND abs(d.d) >= 0.5 AND d.k NOT IN
-          (SELECT x.k FROM early a JOIN effects x ON x.question_id = a.question_id WHERE a.session_id = e.session_id AND x.grp IN ('genres', 'decades'))) AS opens
+          (SELECT x.k FROM answers a JOIN effects x ON x.question_id = a.question_id WHERE a.session_id = e.session_id AND x.grp IN ('genres', 'decades'))) AS opens
       FROM o_eligible e JOIN p ON p.session_id = e.session_id),
     i AS (SELECT *, CASE slot WHEN 'hook' THEN pack = 'core' WHEN 'vibe' THEN pack = 'vibe' WHEN 'spicy' THEN pack = 'spicy' ELSE pack NOT IN ('vibe', 'spicy') END AS ins FROM b),
     a AS (SELECT *, bool_or(led) OVER (PARTITION BY session_id) AS al, bool_or(ins) OVER (PARTITION BY session_id) AS ai, bool_or(opens AND ins) OVER (PARTITION BY session_id) AS ao FROM i),
@@ -288,14 +272,14 @@ def j14(r: Roles):
       FROM f JOIN o_gain g ON g.session_id = f.session_id AND g.question_id = f.question_id LEFT JOIN o_duel u ON u.session_id = f.session_id AND u.question_id = f.question_id WHERE f.fs <> 'explore' OR f.opens)
     SELECT session_id, question_id, slot FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, question_id) AS n FROM s) WHERE n = 1""")
 def j15(r: Roles):
-    return qs.next_question(qs.question_scores(r.early, r.early_sums, r.bank))
+    return qs.next_question(qs.question_scores(r.answers, r.st_sums, r.bank))
 
 
 @query("j15_drawn_question")
 def j15b(r: Roles):
-    scores = qs.question_scores(r.early, r.early_sums, r.bank)
-    seeds = r.early.groupBy("session_id").agg(seed_of(c("session_id").cast("string"), F.count("*").cast("string")).alias("seed"))
-    return qs.draw_question(scores, seeds, r.bank.families(), r.early)
+    scores = qs.question_scores(r.answers, r.st_sums, r.bank)
+    seeds = r.answers.groupBy("session_id").agg(seed_of(c("session_id").cast("string"), F.count("*").cast("string")).alias("seed"))
+    return qs.draw_question(scores, seeds, r.bank.families(), r.answers)
 
 
 @query("j16_coverage", """
@@ -322,12 +306,12 @@ def j17(r: Roles):
 
 
 @query("j18_allowed_variants", """
-    WITH d AS (SELECT DISTINCT session_id, 'q' || (session_id % 4 * 10) AS canonical FROM answers), v AS (SELECT d.session_id, f.question_id, (d.session_id, f.question_id) NOT IN (SELECT (session_id, question_id) FROM early) AS fresh
+    WITH d AS (SELECT DISTINCT session_id, 'q' || (session_id % 4 * 10) AS canonical FROM answers), v AS (SELECT d.session_id, f.question_id, (d.session_id, f.question_id) NOT IN (SELECT (session_id, question_id) FROM answers) AS fresh
       FROM d JOIN o_fam f ON f.canonical = d.canonical)
     SELECT session_id, question_id FROM (SELECT *, bool_or(fresh) OVER (PARTITION BY session_id) AS anew FROM v) WHERE fresh OR NOT anew""")
 def j18(r: Roles):
     drawn = r.answers.select("session_id").distinct().withColumn("canonical", F.concat(F.lit("q"), (c("session_id") % 4 * 10).cast("string")))
-    return qs.allowed_variants(drawn, r.bank.families(), r.early.select("session_id", "question_id"))
+    return qs.allowed_variants(drawn, r.bank.families(), r.answers.select("session_id", "question_id"))
 
 
 @query("j19_profile_summary", """

@@ -96,11 +96,11 @@ ROLE_SQL: dict[str, str] = {
         SELECT event_id, user_id, ts, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS x
         FROM events""",
     "answers": """
-        SELECT user_id AS session_id, event_id AS seq, concat('q', CAST(x % 40 AS STRING)) AS question_id,
+        SELECT user_id AS session_id, event_id AS seq, concat('q', CAST(x % 120 AS STRING)) AS question_id,
                CASE event_type WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'purchase' THEN 'both'
                     WHEN 'signup' THEN 'a' ELSE 'skip' END AS choice
         FROM event_k""",
-    "bank_no": "SELECT CAST(i AS INT) AS i FROM range(40) AS r(i)",
+    "bank_no": "SELECT CAST(i AS INT) AS i FROM range(120) AS r(i)",
     "questions": """
         SELECT concat('q', CAST(i AS STRING)) AS question_id,
                CASE i % 5 WHEN 0 THEN 'core' WHEN 1 THEN 'vibe' WHEN 2 THEN 'spicy' WHEN 3 THEN 'context' ELSE 'deep' END
@@ -224,7 +224,7 @@ ROLE_SQL: dict[str, str] = {
         FROM release_group WHERE id % 3 = 0 OR id % 17 = 1""",
     "rec_work": """
         SELECT DISTINCT CAST(l_partkey AS INT) AS recording, CAST(l_orderkey AS INT) AS work
-        FROM lineitem WHERE l_partkey % 5 <> 2""",
+        FROM lineitem WHERE l_partkey % 8 <> 2""",
     "work_lang": """
         SELECT CAST(o_orderkey AS INT) AS work,
                CASE o_orderkey % 5 WHEN 0 THEN 'heb' WHEN 1 THEN 'spa' WHEN 2 THEN 'zxx' WHEN 3 THEN 'deu'
@@ -264,11 +264,11 @@ ROLE_SQL: dict[str, str] = {
         SELECT CASE WHEN l_partkey % 11 = 0 THEN concat('mr', lpad(CAST(l_partkey AS STRING), 9, '0'))
                     ELSE concat('r', lpad(CAST(l_partkey AS STRING), 9, '0')) END AS mbid,
                {prob_sql()}
-        FROM lineitem WHERE l_partkey % 4 <> 1""",
+        FROM lineitem WHERE l_partkey % 4 <> 2""",
     "ab_rhythm": """
         SELECT concat('r', lpad(CAST(l_partkey AS STRING), 9, '0')) AS mbid,
                CAST(l_orderkey % 180 + 40 AS DOUBLE) AS bpm
-        FROM lineitem WHERE l_partkey % 4 <> 1""",
+        FROM lineitem WHERE l_partkey % 4 <> 2""",
     "pop_cache": """
         SELECT gid, CASE WHEN u % 9 <> 0 THEN u END AS users, CASE WHEN u % 9 <> 0 THEN 3 * u END AS listens
         FROM (SELECT gid, CAST(id * 31 % 5003 AS BIGINT) AS u FROM recording WHERE id % 3 <> 1
