@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cratewise.functions.text import norm_title
 from cratewise.operators.aggregates import log_fame
 from cratewise.operators.ranking import attach, percent_ranks_of, row_numbers
+from cratewise.session import fixed
 
 
 @dataclass(frozen=True)
@@ -114,10 +115,15 @@ def hit_tiers(ranked: DataFrame, rules: HitRules = HitRules(), curated_list: boo
     narrow = keyed.select("song", "gid", "decade", "market", "hit_key")
     rising = [F.col("hit_key").asc(), F.col("gid").asc()]
     share = lambda rank, n: F.when(F.col(n) > 1, (F.col(rank) - 1) / (F.col(n) - 1)).otherwise(F.lit(0.0))
-    cell = row_numbers(narrow, ["decade", "market"], rising, "_up", "_n").select("song", share("_up", "_n").alias("hit_pct"), F.col("_n").alias("dec_n"))
-    down = row_numbers(narrow, ["decade", "market"], [F.col("hit_key").desc(), F.col("gid").asc()], "dec_rank", "_n").select("song", "dec_rank")
-    market = row_numbers(narrow, ["market"], rising, "_up", "_n").select("song", share("_up", "_n").alias("market_pct"))
-    wide = keyed.join(cell, "song").join(down, "song").join(market, "song")
+    # One ranking of both kinds of group; the falling rank follows from the rising one and the ties.
+    kinds = F.array(F.struct(F.lit("cell").alias("kind"), F.col("decade"), F.col("market")), F.struct(F.lit("market").alias("kind"), F.lit(None).cast("string").alias("decade"), F.col("market")))
+    both = narrow.select("song", "gid", "hit_key", F.explode(kinds).alias("g")).select("song", "gid", "hit_key", "g.*")
+    up = fixed(row_numbers(both, ["kind", "decade", "market"], rising, "_up", "_n").select("song", "hit_key", "kind", "decade", "market", "_up", "_n"))
+    ties = up.where("kind = 'cell'").groupBy("decade", "market", "hit_key").agg(F.count("*").alias("_ties"), (F.min("_up") - 1).alias("_below"))
+    cell = attach(up.where("kind = 'cell'"), ties, ["decade", "market", "hit_key"])
+    cell = cell.select("song", share("_up", "_n").alias("hit_pct"), F.col("_n").alias("dec_n"), (F.col("_n") - F.col("_below") - F.col("_ties") + F.col("_up") - F.col("_below")).alias("dec_rank"))
+    market = up.where("kind = 'market'").select("song", share("_up", "_n").alias("market_pct"))
+    wide = keyed.join(cell, "song").join(market, "song")
     known = F.col("cur_tier").isNotNull() if curated_list else F.col("il_fame_rank") <= rules.fallback_artists
     best_of_decade = F.col("decade").isNotNull() & (F.col("dec_rank") <= F.ceil(rules.decade_share * F.col("dec_n")))
     is_hit = (F.col("artist_rank") <= rules.top_songs) & F.when(F.col("market") == "intl", best_of_decade).otherwise(known)
