@@ -7,12 +7,14 @@ names with an operator's own columns cannot occur.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as Python strings at a time, besides its Arrow batch.
@@ -50,6 +52,16 @@ def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> Dat
     return docs.mapInArrow(task, docs.schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished plans now. It does so when the driver collects their garbage, which
+    can be long after; until then they take up executors' disks. The last plan is held by its end-of-query events for a
+    moment, hence the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``size`` bytes at most, one row at least."""
     for batch in batches:

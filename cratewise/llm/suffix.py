@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import documents, slices, texts
+from cratewise.llm.common import documents, release, slices, texts
 from cratewise.session import fixed, shuffle_width
 
 LENGTH = 100
@@ -279,24 +279,44 @@ def _covered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(pa.Table.from_batches(waiting))
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, spans): what of each document (one row an id) stands earlier; documents without it are left out.
-    whole: the document equals an earlier one. spans: array of (start, stop), unsorted, overlapping."""
-    filled = docs.where(F.octet_length("text") >= LENGTH)
-    digests = filled.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size"))
+def repeated_anchors(docs: DataFrame) -> DataFrame:
+    """(doc_id, places: array of (hash, pos, n)) of the anchors that stand in n > 1 places; a written table. Hashes are
+    counted before they are shuffled, and the join with the counts can split a hash that stands in very many places."""
+    found = docs.mapInArrow(_anchor_rows, "hash long, doc_id long, pos int")
+    counts = fixed(found.groupBy("hash").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
+    release(docs.sparkSession)
+    return fixed(found.join(counts, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "n")).alias("places")))  # a document's own
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that equal an earlier one; a written table."""
+    digests = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size"))
     firsts = digests.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = fixed(digests.join(firsts, ["digest", "size"]).where("doc_id <> first").select("doc_id"))
-    single = filled.join(copies, "doc_id", "left_anti")
+    return fixed(digests.join(firsts, ["digest", "size"]).where("doc_id <> first").select("doc_id"))
+
 
-    found = single.mapInArrow(_anchor_rows, "hash long, doc_id long, pos int")
-    repeated = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash")).cast("int")).where("n > 1")
-    places = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "n")).alias("places"))  # a document's own
-    contexts = single.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_context_rows, _SHUFFLED)
+def shared_spans(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, spans) of what stands earlier around the repeated anchors; a written table."""
+    contexts = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_context_rows, _SHUFFLED)
     parts = shuffle_width(docs.sparkSession)
     spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_covered_rows, "doc_id long, start long, stop long")
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return fixed(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """(doc_id, whole, spans): what of each document (one row an id) stands earlier; documents without it are left out.
+    whole: the document equals an earlier one. spans: array of (start, stop), unsorted, overlapping. Each step is
+    written, and the shuffle files behind it are released before the next one's."""
+    spark = docs.sparkSession
+    filled = docs.where(F.octet_length("text") >= LENGTH)
+    copies = later_copies(filled)
+    single = filled.join(copies, "doc_id", "left_anti")
+    places = repeated_anchors(single)
+    release(spark)
+    spans = shared_spans(single, places)
+    release(spark)
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    return fixed(by_doc.select("doc_id", F.lit(False).alias("whole"), "spans").union(copies.select("doc_id", F.lit(True), none)))
+    return spans.select("doc_id", F.lit(False).alias("whole"), "spans").union(copies.select("doc_id", F.lit(True), none))
 
 
 def cut_out(data: bytes, whole: bool, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
