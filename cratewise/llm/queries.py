@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cratewise.llm import bpe, html, langid, multiindex, packing, quality, simhash, suffix, topk
+from cratewise.llm import bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk
 from cratewise.llm.inputs import held_out, language_model, quality_model, table
 from cratewise.llm.vectors import usable
 
@@ -45,6 +45,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, language_model(spark, folder)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents have no paths; they are filed by source, language and thousand of their id."""
+    place = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")]
+    return licences.scan(table(spark, folder, "documents").select("doc_id", F.concat_ws("/", *place).alias("path"), "text"))
+
+
 def op8_html_crf(spark: SparkSession, folder: str) -> DataFrame:
     model = html.fit(html.labelled_pages())
     return html.extract(table(spark, folder, "pages"), model).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op4_multi_index": (op4_multi_index, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
+    "op7_licence_scan": (op7_licence_scan, None),
     "op8_html_crf": (op8_html_crf, None),
     "op9_quality_fm": (op9_quality_fm, None),
     "op10_best_two_fit": (op10_best_two_fit, None),
