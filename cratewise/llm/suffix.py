@@ -291,7 +291,8 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id) of the documents that equal an earlier one; a written table."""
     digests = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size"))
-    firsts = digests.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below stands on two exchanges and can split a digest that very many documents share.
+    firsts = fixed(digests.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     return fixed(digests.join(firsts, ["digest", "size"]).where("doc_id <> first").select("doc_id"))
 
 
