@@ -29,7 +29,7 @@ from cratewise.llm.common import Numbering, documents, offsets_of, ranges, slice
 from cratewise.session import fixed
 
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Pieces in a salted part, on average.
 PART_PIECES = 200_000
 #: Text of which words are sure to be matched alike by the tokenizer's own pattern; other text goes to it unsplit.
