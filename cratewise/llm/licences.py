@@ -73,6 +73,7 @@ TEMPLATES = [
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]*[A-Za-z0-9])")
+_NAMED = r"(?i)(^|/)((un)?licen[cs]e|copying)([.-][^/]*)?$"
 _PASSAGES = re.compile(r"\n|(?<=[^\W\d_][.!?;])\s+")
 #: Lines of comments: a source file that is little more than its header is not a licence file.
 _COMMENT = re.compile(r"\s*(#|//|/\*|\*|--|;|%|<!--)")
@@ -208,7 +209,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     files = keyed(files, "doc_id", path="string", text="string").withColumn("path", F.coalesce("path", F.lit("")))
     own = fixed(own_licences(files.select("doc_id", "text"), threshold))
     placed = files.select("doc_id", "path", F.coalesce(F.char_length("text"), F.lit(0)).alias("whole"), parent(F.col("path")).alias("directory"))
-    marked = placed.join(own, "doc_id", "left").withColumn("file", F.coalesce((F.col("size") >= MOSTLY * F.col("whole")), F.lit(False)))
+    marked = placed.join(own, "doc_id", "left").withColumn("file", F.coalesce((F.col("size") >= MOSTLY * F.col("whole")) | (F.col("licence").isNotNull() & F.col("path").rlike(_NAMED)), F.lit(False)))
     marked = fixed(marked)
     given = marked.where("file").groupBy("directory").agg(F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("given"))
     directories = marked.select("directory").distinct()

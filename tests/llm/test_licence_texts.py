@@ -47,3 +47,8 @@ def test_wrapped_headers(got):
     assert {p: got[f"p/{p}"].licence for p in ("gpl.py", "bsd.c", "mpl.js", "spdx.c", "plain.txt")} == {
         "gpl.py": "GPL-3.0", "bsd.c": "BSD-3-Clause", "mpl.js": "MPL-2.0", "spdx.c": "GPL-2.0", "plain.txt": None}
 
+
+def test_licence_files_of_many_lines_are_inherited(got):
+    assert {p: (got[p].licence, got[p].via) for p in got if p[0] in "mnq"} == {
+        "m/LICENSE.txt": ("MIT", "licence file"), "m/src/a.py": ("MIT", "inherited"), "n/terms": ("MIT", "licence file"), "n/b.py": ("MIT", "inherited"),
+        "q/COPYING": ("Apache-2.0", "licence file"), "q/deep/c.py": ("Apache-2.0", "inherited")}
