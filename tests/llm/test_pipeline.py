@@ -6,8 +6,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline as pipeline
 from cratewise.llm import quality
 from cratewise.llm.inputs import language_model, quality_model
+from tests.llm.test_near import kept_of_groups
 from tests.llm.test_packing import check_packing
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_suffix import plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,8 +31,8 @@ def test_each_stage_against_brute_force(spark):
     assert {r.doc_id: r for r in clear.collect()} == {i: given[i] for i in want}
 
     single = pipeline.one_of_each_group(spark, docs, FOLDER)
-    of = plain_components({i: plain_fingerprint(r.text) for i, r in given.items()}, 4)
-    assert {r.doc_id: r for r in single.collect()} == {i: given[i] for i in given if of[i] == i} and single.count() < len(given)
+    want, _ = kept_of_groups([(i, r.text) for i, r in given.items()])
+    assert {r.doc_id: r for r in single.collect()} == {i: given[i] for i in want} and single.count() < len(given)
 
     cut = pipeline.without_repeats(spark, docs, FOLDER)
     assert cut.columns == docs.columns
