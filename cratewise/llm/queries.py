@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cratewise.llm import bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk
+from cratewise.llm import bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk, wordbpe
 from cratewise.llm.inputs import held_out, language_model, quality_model, table
 from cratewise.llm.vectors import usable
 
@@ -77,6 +77,14 @@ def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a document: digests of its ids and of their decoded text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = wordbpe.encode(table(spark, folder, "documents"), path)
+    decoded = wordbpe.decode(encoded, path, keep=[(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: name -> (query, DuckDB SQL for the same rows or None)
 QUERIES = {
     "op1_threshold_topk": (op1_threshold_topk, OP1_SQL),
@@ -89,5 +97,6 @@ QUERIES = {
     "op8_html_crf": (op8_html_crf, None),
     "op9_quality_fm": (op9_quality_fm, None),
     "op10_best_two_fit": (op10_best_two_fit, None),
+    "op12_speculative_bpe": (op12_speculative_bpe, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
