@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cratewise.llm import bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk, wordbpe
+from cratewise.llm import align, bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk, wordbpe
 from cratewise.llm.inputs import held_out, language_model, quality_model, table
 from cratewise.llm.vectors import usable
 
@@ -77,6 +77,11 @@ def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a document: tokens, groups and links of its two tokenizations."""
+    return align.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """One row a document: digests of its ids and of their decoded text."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_html_crf": (op8_html_crf, None),
     "op9_quality_fm": (op9_quality_fm, None),
     "op10_best_two_fit": (op10_best_two_fit, None),
+    "op11_token_alignment": (op11_token_alignment, None),
     "op12_speculative_bpe": (op12_speculative_bpe, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
