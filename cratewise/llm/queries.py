@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cratewise.llm import align, bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk, wordbpe
+from cratewise.llm import align, audit, bpe, html, langid, licences, multiindex, packing, quality, simhash, suffix, topk, wordbpe
 from cratewise.llm.inputs import held_out, language_model, quality_model, table
 from cratewise.llm.vectors import usable
 
@@ -90,6 +90,39 @@ def op12_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the two parts of each (lang, source) group, ranked."""
+    return audit.divergences(table(spark, folder, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+per AS (SELECT row, lang, source, term, count(*) AS n FROM seen GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM per GROUP BY lang, term HAVING count(*) >= 30),
+size AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n_lang FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM per JOIN kept USING (lang, term) GROUP BY ALL),
+filled AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS n_group
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 * (n + 5) AS HUGEINT) // (n_group + 5 * v) AS p, 1 + CAST(1000000000 * (total + 5) AS HUGEINT) // (n_lang + 5 * v) AS q
+  FROM filled JOIN size USING (lang)
+), apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), high AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM high) WHERE rank <= 50
+"""
+
+
 #: name -> (query, DuckDB SQL for the same rows or None)
 QUERIES = {
     "op1_threshold_topk": (op1_threshold_topk, OP1_SQL),
@@ -104,5 +137,6 @@ QUERIES = {
     "op10_best_two_fit": (op10_best_two_fit, None),
     "op11_token_alignment": (op11_token_alignment, None),
     "op12_speculative_bpe": (op12_speculative_bpe, None),
+    "op13_source_audit": (op13_source_audit, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
