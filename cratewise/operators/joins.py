@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,34 +50,42 @@ def nearest_label(nodes: DataFrame, parents: DataFrame, labels: DataFrame) -> Da
     return hits.groupBy("node").agg(F.min_by("_label", F.struct("_depth", "_label")).alias("label"))
 
 
+#: Recordings that a light key has at most; a heavier one is summed by classes.
+HEAVY_KEY = 64
+
+
 def sibling_totals(
     song_keys: DataFrame, own: DataFrame, keys: DataFrame, values: DataFrame, measures: dict[str, Column],
-    split: tuple[str, ...] = (),
+    split: tuple[str, ...] = (), heavy_key: int = HEAVY_KEY,
 ) -> DataFrame:
-    """Sums over the distinct recordings that share a key with a song, without listing the pairs.
+    """Sums over the distinct recordings that share a key with a song; heavy keys list no pairs.
 
-    Recordings with the same set of keys form one class and are summed once; a song then adds up the
-    classes it touches and takes its own recordings back out, so a key shared by a third of all
-    recordings costs its number of classes, not its square.
+    Through light keys, of ``heavy_key`` recordings at most, a song meets recordings one by one. Through heavy ones it meets
+    classes: recordings with the same set of heavy keys, however different their light keys are, are summed once, and a song
+    adds up the classes that have one of its keys. What it meets both ways counts by its class alone. Its own recordings are
+    taken back out.
     ``song_keys``: song, key. ``own``: song, recording. ``keys``: recording, key. ``values``: recording plus
     columns. ``measures``: output name → expression summed over ``values`` rows (whole numbers or decimals),
     per value of the ``split`` columns.
     """
     sums = [F.sum(c).alias(n) for n, c in measures.items()]
-    key_sets = (
-        keys.join(values.select("recording"), "recording", "left_semi")
-        .groupBy("recording").agg(F.array_sort(F.collect_set("key")).alias("key_set"))
-    )
-    tagged = values.join(key_sets, "recording")
-    classes = tagged.groupBy("key_set", *split).agg(*sums)
-    by_key = key_sets.select("key_set").distinct().select(F.explode("key_set").alias("key"), "key_set")
-    touched = song_keys.distinct().join(by_key, "key").select("song", "key_set").distinct()
-    reached = touched.join(classes, "key_set").select("song", *split, *measures)
+    counted = keys.distinct().join(values.select("recording").distinct(), "recording", "left_semi")
+    heavy = fixed(counted.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_key).select("key"))
+    asked = song_keys.distinct()
+    light = asked.join(counted, "key").join(heavy, "key", "left_anti").select("song", "recording").distinct()
+    class_of = fixed(counted.join(heavy, "key").groupBy("recording").agg(F.array_sort(F.collect_set("key")).alias("heavy_keys")))
+    by_key = class_of.select("heavy_keys").distinct().select(F.explode("heavy_keys").alias("key"), "heavy_keys")
+    touched = fixed(asked.join(by_key, "key").select("song", "heavy_keys").distinct())
+    classes = values.join(class_of, "recording").groupBy("heavy_keys", *split).agg(*sums)
+    one_by_one = light.join(class_of, "recording", "left").join(touched, ["song", "heavy_keys"], "left_anti").select("song", "recording")
     # Own recordings count only where the song reaches them.
     reachable = own.join(keys, "recording").join(song_keys, ["song", "key"], "left_semi").select("song", "recording").distinct()
-    mine = reachable.join(values, "recording").groupBy("song", *split).agg(*sums)
-    both = reached.unionByName(mine.select("song", *split, *[(-F.col(n)).alias(n) for n in measures]))
-    return both.groupBy("song", *split).agg(*[F.sum(n).alias(n) for n in measures])
+    parts = [
+        touched.join(classes, "heavy_keys").select("song", *split, *measures),
+        one_by_one.join(values, "recording").groupBy("song", *split).agg(*sums),
+        reachable.join(values, "recording").groupBy("song", *split).agg(*sums).select("song", *split, *[(-F.col(n)).alias(n) for n in measures]),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("song", *split).agg(*[F.sum(n).alias(n) for n in measures])
 
 
 def contains_match(queries: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -91,59 +101,66 @@ def contains_match(queries: DataFrame, tracks: DataFrame) -> DataFrame:
     )
 
 
-def allowed_edits(longer: Column, threshold: float) -> Column:
-    """Most edits two strings may differ by and still reach the similarity threshold."""
-    return F.floor((1 - threshold) * longer + 1e-9)
+def gram_sizes(threshold: float) -> list[int]:
+    """Letters of a chunk by length class; the last entry holds for all longer classes.
+
+    A class is a step of the logarithm to the base 1/threshold, so that similar strings are in the same or the next class.
+    A string of n letters may take d edits (with the longest string that it can be similar to); cut into chunks of the size
+    of its class it has more than d chunks. 0: strings of the class take no edit.
+    """
+    most = lambda n: math.floor((1 - threshold) * n / threshold + 1e-9)
+    always = math.ceil(threshold / (1 - threshold) - 1e-9) - 1
+    # From this length on, chunks of ``always`` letters are enough for every string.
+    settled = math.ceil(always / max(1 - always * (1 - threshold) / threshold, 1e-9)) + 2
+    sizes: dict[int, int] = {}
+    for n in range(1, min(settled, 5_000) + 1):
+        k, fits = length_class(n, threshold), n // (most(n) + 1) if most(n) else 0
+        sizes[k] = min(sizes.get(k) or fits, fits) if fits else sizes.get(k, 0)
+    last = max(sizes)
+    return [sizes.get(k, 0) for k in range(last)] + [min(always, sizes[last] or always)]
+
+
+def length_class(n: int, threshold: float) -> int:
+    return math.floor(math.log(n) / math.log(1 / threshold) + 1e-9)
 
 
 def similar_pairs(
     left: DataFrame, right: DataFrame, block: list[str], value: str, threshold: float = 0.85
 ) -> DataFrame:
-    """(block…, left value, right value, sim) for all pairs with similarity ≥ threshold and equal numbers.
+    """(block…, left value, right value, sim) for all pairs with similarity ≥ threshold (above one half) and equal numbers.
 
-    Partition-based exact filter: a string cut into d+1 pieces keeps one piece unchanged under d edits,
-    so pairs are found by an equality join on (lengths, piece number, piece) and only then compared.
-    Equal values are joined directly.
+    Exact chunk filter: an edit spoils one chunk of a string at most, so that of d+1 chunks of the left string one stands in
+    the right one, shifted by d letters at most. Left strings give d+1 chunks, right strings their grams of the chunk sizes of
+    the three length classes around theirs: rows in proportion to the string. Pairs meet by an equality join on (class, chunk)
+    and are compared once their lengths and places fit. Equal values are joined directly.
     """
     l = left.select(*block, F.col(value).alias("lv")).where(F.length("lv") > 0).distinct()
     r = right.select(*block, F.col(value).alias("rv")).where(F.length("rv") > 0).distinct()
     same = l.join(r.withColumn("lv", F.col("rv")), [*block, "lv"]).select(*block, "lv", "rv", F.lit(1.0).alias("sim"))
 
-    slack = 1 - threshold
-    own_len, other = F.length("v"), F.col("other")
-    reach = F.sequence(
-        F.greatest(F.lit(1), F.ceil(own_len * threshold - 1e-9)).cast("int"),
-        F.floor(own_len / threshold + 1e-9).cast("int"),
-    )
-
-    def pieces(df: DataFrame, name: str, is_left: bool) -> DataFrame:
-        d = df.withColumn("v", F.col(name)).withColumn("digits", digits_of(F.col("v")))
-        d = d.withColumn("other", F.explode(reach))
-        cut_len = own_len if is_left else other  # the left string is the one cut into pieces
-        d = d.withColumn("edits", allowed_edits(F.greatest(own_len, other), threshold)).where("edits > 0")
-        d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("edits").cast("int"))))
-        start = F.floor(F.col("piece") * cut_len / (F.col("edits") + 1))
-        stop = F.floor((F.col("piece") + 1) * cut_len / (F.col("edits") + 1))
-        d = d.withColumn("start", start.cast("int")).withColumn("size", (stop - start).cast("int"))
-        if is_left:
-            at = F.col("start")
-        else:
-            low = F.greatest(F.lit(0), F.col("start") - F.col("edits").cast("int"))
-            high = F.least(own_len - F.col("size"), F.col("start") + F.col("edits").cast("int"))
-            d = d.where(high >= low).withColumn("at", F.explode(F.sequence(low, high)))
-            at = F.col("at")
-        text = F.substring(F.col("v"), at + 1, F.col("size"))
-        lengths = (own_len, other) if is_left else (other, own_len)
-        return d.select(
-            *block, "digits", lengths[0].alias("ll"), lengths[1].alias("rl"), "piece", text.alias("text"), name
-        ).distinct()
-
-    on = [*block, "digits", "ll", "rl", "piece", "text"]
-    found = pieces(l, "lv", True).join(pieces(r, "rv", False), on).select(*block, "lv", "rv").distinct()
-    near = (
-        found.where("lv <> rv").withColumn("sim", similarity(F.col("lv"), F.col("rv")))
-        .where(F.col("sim") >= 1 - slack - 1e-12)
-    )
+    sizes = gram_sizes(threshold)
+    listed = F.array(*[F.lit(q) for q in sizes])
+    size_of = lambda k: F.when(k < 0, 0).otherwise(F.get(listed, F.least(k, F.lit(len(sizes) - 1))))
+    edits_of = lambda longer: F.floor((1 - threshold) * longer + 1e-9).cast("int")
+
+    def classed(df: DataFrame, name: str, n: str) -> DataFrame:
+        d = df.withColumns({"digits": digits_of(F.col(name)), n: F.length(name)})
+        return d.withColumn("class", F.floor(F.log(F.col(n)) / math.log(1 / threshold) + 1e-9).cast("int"))
+
+    chunk = lambda name, start, size: F.struct(start.alias("at"), F.substring(F.col(name), start + 1, size).alias("text"))
+    lefts = classed(l, "lv", "ln").withColumn("size", size_of(F.col("class"))).withColumn("edits", F.floor((1 - threshold) * F.col("ln") / threshold + 1e-9).cast("int"))
+    lefts = lefts.where("edits > 0").withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("edits")), lambda i: chunk("lv", i * F.col("size"), F.col("size")))))
+    rights = classed(r, "rv", "rn").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    rights = rights.withColumn("size", size_of(F.col("class"))).where("size > 0 AND rn >= size")
+    rights = rights.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("rn") - F.col("size")), lambda i: chunk("rv", i, F.col("size")))))
+
+    keys = [*block, "digits", "class", "text"]
+    ours = lefts.select(*block, "digits", "class", F.col("c.text").alias("text"), F.col("c.at").alias("la"), "ln", "lv")
+    theirs = rights.select(*block, "digits", "class", F.col("c.text").alias("text"), F.col("c.at").alias("ra"), "rn", "rv")
+    most = edits_of(F.greatest("ln", "rn"))
+    fits = (F.abs(F.col("ln") - F.col("rn")) <= most) & (F.abs(F.col("la") - F.col("ra")) <= most) & (F.col("lv") != F.col("rv"))
+    found = ours.join(theirs, keys).where(fits).select(*block, "lv", "rv").distinct()
+    near = found.withColumn("sim", similarity(F.col("lv"), F.col("rv"))).where(F.col("sim") >= threshold - 1e-12)
     return same.unionByName(near)
 
 

@@ -70,7 +70,29 @@ def test_similar_pairs_finds_exactly_the_pairs_above_the_threshold(spark):
     assert got == want and len(want) > 20
 
 
-def test_sibling_totals_equal_listing_the_pairs(spark):
+def test_chunks_are_more_than_the_edits_at_every_length():
+    for threshold in (0.6, 0.75, 0.85, 0.9):
+        sizes = joins.gram_sizes(threshold)
+        for n in range(1, 3_000):
+            edits = int((1 - threshold) * n / threshold + 1e-9)
+            size = sizes[min(joins.length_class(n, threshold), len(sizes) - 1)]
+            assert not edits or 0 < size * (edits + 1) <= n, (threshold, n)
+
+
+def test_very_long_titles_are_matched_with_rows_in_proportion(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(5_000))
+    near = list(base)
+    for at in rng.sample(range(5_000), 600):
+        near[at] = "z"
+    far = "".join(rng.choice("abcdefgh ") for _ in range(5_000))
+    mk = lambda ws: spark.createDataFrame([("b", w) for w in ws], "blk string, t string")
+    out = joins.similar_pairs(mk([base, "short title"]), mk(["".join(near), far, "short titel", "shirt title"]), ["blk"], "t")
+    assert {(r["lv"][:5], r["rv"][:5]) for r in out.collect()} == {(base[:5], "".join(near)[:5]), ("short", "shirt")}
+
+
+@pytest.mark.parametrize("heavy_key", [1, 3, 20, 1_000])
+def test_sibling_totals_equal_listing_the_pairs(spark, heavy_key):
     rng = random.Random(3)
     keys = {(rec, "hot" if rng.random() < 0.4 else f"k{rng.randrange(60)}") for rec in range(200) for _ in range(rng.randrange(1, 4))}
     own = [(rec % 50, rec) for rec in range(200)]
@@ -78,7 +100,7 @@ def test_sibling_totals_equal_listing_the_pairs(spark):
     df = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
     out = joins.sibling_totals(
         df(song_keys, "song int, key string"), df(own, "song int, recording int"), df(keys, "recording int, key string"),
-        df([(i, i * 3) for i in range(200)], "recording int, v int"), {"n": F.lit(1), "s": F.col("v")},
+        df([(i, i * 3) for i in range(200)], "recording int, v int"), {"n": F.lit(1), "s": F.col("v")}, heavy_key=heavy_key,
     )
     got = {r["song"]: (r["n"], r["s"]) for r in out.where("n > 0").collect()}
     want = {}
