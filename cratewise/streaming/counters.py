@@ -12,9 +12,9 @@ from cratewise.operators.ranking import prefix_totals
 DAYS_KEPT, DAYS_SHOWN, HOURS_KEPT, TIMING_HOURS = 400, 90, 14 * 24, 24
 
 
-def late_after(events: DataFrame, ts: str, delay: str = "1 hour") -> DataFrame:
-    """Set a watermark on a stream; a stored table passes through."""
-    return events.withWatermark(ts, delay) if events.isStreaming else events
+def late_after(events: DataFrame, ts: str, delay: str | None = "1 hour") -> DataFrame:
+    """Set a watermark on a stream; a stored table passes through, and so does a stream that has one (no ``delay``)."""
+    return events.withWatermark(ts, delay) if delay and events.isStreaming else events
 
 
 def window_counts(events: DataFrame, ts: str, event: str, width: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -62,6 +62,19 @@ def hourly_latency(counts: DataFrame, ms: str, hours: int | None = None) -> Data
     return at.groupBy("hour").agg(F.first("_n").alias("n"), pick(50, "p50"), pick(95, "p95"))
 
 
+def streamed_latency(samples: DataFrame, ts: str, ms: str, delay: str | None = "1 hour") -> DataFrame:
+    """(hour, n, p50, p95) by nearest rank, as ``hourly_latency``, in one pass: an hour's state is its exact histogram of
+    durations, which merges. On a stream an hour is given out once, when the watermark passes its end."""
+    at = lambda p, name: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{ms}`)").alias(name)
+    hours = late_after(samples.where(F.col(ms).isNotNull()), ts, delay).groupBy(F.window(ts, "1 hour").alias("_w")).agg(F.count("*").alias("n"), at(0.5, "p50"), at(0.95, "p95"))
+    return hours.select(utc_hour(F.col("_w.start")).alias("hour"), "n", "p50", "p95")
+
+
+def streamed_totals(events: DataFrame, event: str) -> DataFrame:
+    """(event, n) since the start of a stream, for complete or update mode; the state is one number an event."""
+    return events.groupBy(event).agg(F.count("*").alias("n"))
+
+
 def once_per(events: DataFrame, keys: list[str], ts: str, delay: str = "1 hour") -> DataFrame:
     """Count a key once: duplicates (retries, reloads) are dropped, within the watermark on a stream."""
     if events.isStreaming:
@@ -69,19 +82,22 @@ def once_per(events: DataFrame, keys: list[str], ts: str, delay: str = "1 hour")
     return events.dropDuplicates(keys)
 
 
-def funnel(events: DataFrame, ts: str, tag: str, step: str, steps: list[str]) -> DataFrame:
-    """(hour, tag, one count per step, finished_share) of a tagged funnel."""
-    counts = events.where(F.col(step).isin(*steps)).groupBy(utc_hour(F.date_trunc("hour", F.col(ts))).alias("hour"), tag)
-    wide = counts.agg(*[F.count_if(F.col(step) == s).alias(s) for s in steps])
+def funnel(events: DataFrame, ts: str, tag: str, step: str, steps: list[str], delay: str | None = "1 hour") -> DataFrame:
+    """(hour, tag, one count per step, finished_share) of a tagged funnel. On a stream an hour's rows are given out when the
+    watermark passes its end."""
+    rows = late_after(events.where(F.col(step).isin(*steps)), ts, delay)
+    counts = rows.groupBy(F.window(ts, "1 hour").alias("_w"), tag).agg(*[F.count_if(F.col(step) == s).alias(s) for s in steps])
+    wide = counts.select(utc_hour(F.col("_w.start")).alias("hour"), tag, *steps)
     return wide.withColumn("finished_share", F.try_divide(F.col(steps[-1]), F.col(steps[-2])))
 
 
-def more_finished_than_built(events: DataFrame, ts: str, step: str, finished: str, built: str) -> DataFrame:
-    """Days on which more quizzes finished than playlists were built: a counting fault."""
-    days = events.groupBy(utc_day(F.col(ts)).alias("day")).agg(
+def more_finished_than_built(events: DataFrame, ts: str, step: str, finished: str, built: str, delay: str | None = "1 hour") -> DataFrame:
+    """Days on which more quizzes finished than playlists were built: a counting fault. On a stream an alert a day, when the
+    watermark passes the day's end."""
+    days = late_after(events.where(F.col(step).isin(finished, built)), ts, delay).groupBy(F.window(ts, "1 day").alias("_w")).agg(
         F.count_if(F.col(step) == finished).alias("finished"), F.count_if(F.col(step) == built).alias("built")
     )
-    return days.where("finished > built")
+    return days.where("finished > built").select(utc_day(F.col("_w.start")).alias("day"), "finished", "built")
 
 
 def keep_newest(stream_counts: DataFrame, path: str, window: str, n: int, checkpoint: str) -> StreamingQuery:

@@ -81,9 +81,9 @@ def stream_waits(requests: DataFrame, key: str, ts: str, per_minute: float, dela
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int(last) + IDLE_MS)
 
-        def handleExpiredTimer(self, k, timer_values, expired):  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
             self.state.clear()
-            yield pd.DataFrame(columns=[key, "at", "wait"])
+            yield from ()
 
         def close(self) -> None:
             pass

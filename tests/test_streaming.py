@@ -75,3 +75,73 @@ def test_late_requests_take_no_tokens():
 
     assert take(2.0, 60_000, 20_000, 3.0) == (1.0, 0)
     assert take(2.0, 60_000, 60_000, 3.0) == (1.0, 0)
+
+
+# --- streams of several triggers with late and repeated events ---------------------------------------
+def _one_by_one(spark, frames, make, mode="append", name="out"):
+    """Rows of the stream ``make(source)`` over ``frames``, a trigger each."""
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    check = tempfile.mkdtemp()
+    source = spark.readStream.schema(frames[0].schema).parquet(folder)
+    for k, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        q = make(source).writeStream.outputMode(mode).option("checkpointLocation", check).foreachBatch(lambda b, e, k=k: b.write.mode("append").parquet(f"{folder}-out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    return spark.read.parquet(f"{folder}-out")
+
+
+def _made(spark):
+    """Frames of events: four in order with events up to 50 minutes late, and one far ahead; and all but that as a batch."""
+    rng = random.Random(5)
+    base = 1_704_067_200
+    schema = "event_id long, user int, tag string, session string, event string, ms int, s long"
+    rows = []
+    for i in range(900):
+        user = rng.randrange(6)
+        rows.append((i, user, rng.choice(["x", "ig", None, None, None]), f"{user}:{i // 300}:{rng.randrange(15)}", rng.choice(["open", "start", "done", "built"]), rng.randrange(300), base + i * 1_800 + rng.randrange(900)))
+    order = sorted(rows, key=lambda r: r[-1] + rng.random() * 3_000)
+    ahead = (10_000, 0, None, "end", "open", 1, base + 400 * 86_400)
+    frame = lambda part: spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    frames = [frame(order[k * 225 : (k + 1) * 225] + (order[k * 225 - 9 : k * 225] if k else [])) for k in range(4)]  # each repeats the end of the one before
+    return frame(rows), [*frames, frame([ahead]), frame([(10_001, *ahead[1:-1], ahead[-1] + 86_400)])]
+
+
+def test_stream_of_latency_equals_the_batch(spark):
+    batch, frames = _made(spark)
+    once = lambda e: counters.once_per(e, ["event_id"], "ts", "2 hours")
+    out = _one_by_one(spark, frames, lambda e: counters.streamed_latency(once(e), "ts", "ms", None))
+    want = {tuple(r) for r in counters.hourly_latency(counters.latency_counts(batch, "ts", "ms"), "ms").select("hour", "n", "p50", "p95").collect()}
+    got = [tuple(r) for r in out.select("hour", "n", "p50", "p95").collect() if not r.hour.startswith("2025")]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in counters.streamed_latency(batch, "ts", "ms").collect()} == want
+
+
+def test_stream_of_the_funnel_and_its_alert_equal_the_batch(spark):
+    batch, frames = _made(spark)
+    once = lambda e: counters.once_per(e, ["event_id"], "ts", "2 hours")
+    steps = ["open", "start", "done"]
+    out = _one_by_one(spark, frames, lambda e: counters.funnel(once(e), "ts", "tag", "event", steps, None))
+    names = ["hour", "tag", *steps, "finished_share"]
+    got = [tuple(r) for r in out.select(*names).collect() if not r.hour.startswith("2025")]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in counters.funnel(batch, "ts", "tag", "event", steps).select(*names).collect()}
+    out = _one_by_one(spark, frames, lambda e: counters.more_finished_than_built(once(e), "ts", "event", "done", "built", None))
+    want = {tuple(r) for r in counters.more_finished_than_built(batch, "ts", "event", "done", "built").collect()}
+    assert {tuple(r) for r in out.select("day", "finished", "built").collect()} == want and want
+
+
+def test_totals_of_a_stream_in_complete_mode(spark):
+    batch, frames = _made(spark)
+    out = _one_by_one(spark, frames[:4], lambda e: counters.streamed_totals(counters.once_per(e, ["event_id"], "ts", "2 hours"), "event"), "update")
+    assert {tuple(r) for r in out.groupBy("event").agg(F.max("n")).collect()} == {tuple(r) for r in counters.totals(counters.daily_counts(batch, "ts", "event"), "event").collect()}
+
+
+def test_stream_of_credits_equals_the_batch(spark):
+    batch, frames = _made(spark)
+    out = _one_by_one(spark, frames, lambda e: attribution.stream_credits(e, "user", "ts", "event_id", "tag", "session", "event", "start", "done", days=7, delay="2 hours"))
+    tagged = attribution.current_tag(batch, "user", "ts", "event_id", "tag")
+    want = {tuple(r) for r in attribution.credited_finishes(tagged, "session", "ts", "event", "start", "done").collect()}
+    got = [tuple(r) for r in out.select("session", "source").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
