@@ -31,7 +31,7 @@ BLOCK_TAGS = frozenset(
     "html body header footer nav main article section aside div p h1 h2 h3 h4 h5 h6 hgroup ul ol menu li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend "
     "blockquote pre figure figcaption address details summary dialog hr center head search".split()
 )
-SILENT_TAGS = frozenset("script style noscript template svg math iframe object textarea select button title canvas audio video".split())
+SILENT_TAGS = frozenset("script style template textarea select button title".split())
 ENDED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SIBLING_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
@@ -92,7 +92,7 @@ def blocks(html: str, paths: Paths) -> list[Block]:
         del stack[to:]
 
     match = _TOKEN.match
-    lower = ""
+    lower, endless = "", set()
     while at < len(html):
         m = match(html, at)
         at = m.end()
@@ -135,7 +135,7 @@ def blocks(html: str, paths: Paths) -> list[Block]:
         elif tag in ("br", "img", "input", "wbr"):
             if tag != "wbr":
                 parts.append(" ")
-        elif tag in SILENT_TAGS and not m[1] and not m[3].endswith("/"):
+        elif tag in SILENT_TAGS and tag not in endless and not m[1] and not m[3].endswith("/"):
             lower = lower or html.lower()
             end = lower.find(f"</{tag}", at) if len(lower) == len(html) else -1
             if end < 0 and len(lower) != len(html):  # lower case changes the length of some letters
@@ -143,7 +143,9 @@ def blocks(html: str, paths: Paths) -> list[Block]:
                 end = found.start() if found else -1
             if end >= 0:
                 at = end
-            elif tag in ("script", "style", "title", "textarea"):
+            else:
+                endless.add(tag)  # no later one ends either
+            if end < 0 and tag in ("script", "style", "title", "textarea"):
                 at = len(html)
     flush()
     return out

@@ -71,3 +71,19 @@ def test_edge_cases(spark, folder_of):
     assert set(got) == {1, 2, 3, 4, 5} and got[1].text == got[2].text == got[5].text == "" and got[2].url is None
     assert got[4].text.count("long paragraph here.") == 20_000
     assert op8_html_crf(spark, folder_of(pages=pages.limit(0))).count() == 0
+
+
+def test_only_scripts_styles_and_form_controls_are_silent(model):
+    page = """<html><body><main><h1>Title of it</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> as known to all readers of this page.</p>
+    <p>Some long words before. <audio>fallback words</audio> <noscript>plain words</noscript> And some long words after that.</p></main></body></html>"""
+    found = [b.text for b in html.blocks(page, html.Paths())]
+    assert found == ["Title of it", "Energy is E=mc as known to all readers of this page.", "Some long words before. fallback words plain words And some long words after that."]
+    assert [b.text for b in html.blocks("<p>a<button>b</button><style>c</style><template><p>d</p></template>e</p>", html.Paths())] == ["ae"]
+
+
+def test_many_unclosed_controls_take_no_square_time():
+    import time
+
+    started = time.perf_counter()
+    assert len(html.blocks("<p>x<button>" * 20_000, html.Paths())) == 20_000
+    assert time.perf_counter() - started < 2
