@@ -26,8 +26,6 @@ from cratewise.llm.common import Numbering, documents, offsets_of, slices, texts
 
 #: Labelled documents of a language that are learned from, on average at most.
 SAMPLE_DOCS = 1_500
-#: Languages that are learned: the most frequent labels.
-MOST_LANGUAGES = 200
 BUCKETS = 1 << 16
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
@@ -176,12 +174,12 @@ def viterbi(scores: np.ndarray, table: np.ndarray, start: np.ndarray) -> np.ndar
 def fit(labelled: DataFrame) -> Model:
     """``labelled``: doc_id, text, lang."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row a label
     languages = sorted(r.lang for r in sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool), np.zeros(0))
-    bar = F.create_map(*(x for r in sizes for x in (F.lit(r.lang), F.lit(min(1_000_000, SAMPLE_DOCS * 1_000_000 // r["count"])))))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < bar[F.col("lang")])
+    bar = F.least(F.lit(1_000_000), F.floor(F.lit(SAMPLE_DOCS * 1_000_000) / F.col("count")))
+    sample = rows.join(rows.groupBy("lang").count(), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < bar).select("doc_id", "text", "lang")
     place = {name: k for k, name in enumerate(languages)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

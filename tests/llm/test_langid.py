@@ -72,3 +72,9 @@ def test_script_narrows_candidates(spark):
     assert model.languages == ["en", "fr", "ru"]
     assert model.predict(["ывап the peace"])[0][2][0][3] == 2
     assert model.word_scores(["ыва"])[0].argmax() == 2
+
+
+def test_every_label_is_learned(spark):
+    rows = [(k * 3 + j, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}word{chr(97 + k % 26) * 3} other{chr(97 + k // 26)} ", f"l{k:03d}") for k in range(300) for j in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.languages) == 300
