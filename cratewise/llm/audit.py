@@ -18,8 +18,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -36,7 +35,7 @@ KEPT_IN = 30
 #: Terms of the part ``term`` a group, and the parts of a thousand million that probabilities are counted in.
 TERMS, UNIT, PRIOR = 50, 1_000_000_000, 5
 #: Postings that a task holds in memory before it spills a run.
-BLOCK_POSTINGS = 300_000
+BLOCK_POSTINGS = 600_000
 #: Bytes of text a hash shard, on average.
 SHARD_BYTES = 48 << 20
 #: Pairs of sources, and postings, that a task adds up at a time.
@@ -58,33 +57,35 @@ def terms_of(text: str) -> list[bytes]:
 def runs(docs: DataFrame, shards: int) -> DataFrame:
     """The spilled runs of the tasks: a row for each shard and language of a run."""
 
-    def spill(occurrences: dict[tuple[str, str], Counter], documents: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        by_shard: dict[tuple[int, str], list] = defaultdict(list)
-        postings: dict[tuple[str, bytes], list] = defaultdict(list)
-        for (lang, source), counted in occurrences.items():
-            for term, n in counted.items():
-                postings[lang, term].append((source, n))
-        for lang, term in sorted(postings):
-            by_shard[crc32(term, crc32(lang.encode())) % shards, lang].append(term)
-        rows = []
-        for (shard, lang), terms in by_shard.items():
-            listed = [postings[lang, t] for t in terms]
-            names = sorted({source for p in listed for source, _ in p})
-            place = {s: k for k, s in enumerate(names)}
-            ends = np.cumsum([len(p) for p in listed]).tolist()
-            rows.append((shard, lang, terms, [documents[lang][t] for t in terms], ends, names, [place[s] for p in listed for s, _ in p], [n for p in listed for _, n in p]))
-        for at in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64]), _RUN_SCHEMA)], schema=_RUN_SCHEMA)
+    def spill(occurrences: dict[str, dict[str, Counter]], documents: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, by_source in occurrences.items():
+            terms = sorted(documents[lang])
+            shard_of = np.fromiter((crc32(t, crc32(lang.encode())) for t in terms), np.int64, len(terms)) % shards
+            order = np.argsort(shard_of, kind="stable")  # by shard, then term
+            place = dict(zip((terms[k] for k in order.tolist()), range(len(terms))))
+            names = sorted(by_source)
+            at = np.concatenate([np.fromiter(map(place.__getitem__, by_source[s]), np.int64, len(by_source[s])) for s in names])
+            counts = np.concatenate([np.fromiter(by_source[s].values(), np.int64, len(by_source[s])) for s in names])
+            source_of = np.repeat(np.arange(len(names), dtype=np.int32), [len(by_source[s]) for s in names])
+            posted = np.argsort(at, kind="stable")
+            counts, source_of, ends = counts[posted], source_of[posted], np.cumsum(np.bincount(at, minlength=len(terms)))
+            listed, shard_of = list(place), shard_of[order]
+            in_documents = np.fromiter(map(documents[lang].__getitem__, listed), np.int64, len(listed))
+            for first, last in zip(*_groups(shard_of)):
+                start, end = (ends[first - 1] if first else 0), ends[last - 1]
+                row = (shard_of[first], lang, listed[first:last], in_documents[first:last], ends[first:last] - start, names, source_of[start:end], counts[start:end])
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _RUN_SCHEMA)], schema=_RUN_SCHEMA)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        occurrences: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         documents: dict[str, Counter] = defaultdict(Counter)
         for batch in slices(batches):
             for text, lang, source in zip(texts(batch), batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
                 words = terms_of(text)
-                occurrences[lang, source].update(words)
+                if words:
+                    occurrences[lang][source].update(words)
                 documents[lang].update(set(words))
-            if sum(map(len, occurrences.values())) > BLOCK_POSTINGS:
+            if sum(len(counted) for by_source in occurrences.values() for counted in by_source.values()) > BLOCK_POSTINGS:
                 yield from spill(occurrences, documents)
                 occurrences.clear()
                 documents.clear()
@@ -93,48 +94,60 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(task, _RUN)
 
 
-def _postings(rows: pa.RecordBatch, at: int) -> Iterator[tuple[bytes, int, str, int]]:
-    """(term, documents, source, occurrences) of a run's row in the order of its terms; the documents stand with the first."""
-    sources, source_of, counts = rows.column("sources")[at].as_py(), rows.column("source_of")[at].values.to_numpy(), rows.column("counts")[at].values.to_numpy()
-    terms, documents, start = rows.column("terms")[at].values, rows.column("documents")[at].values.to_numpy(), 0
-    for k, end in enumerate(rows.column("ends")[at].values.to_numpy().tolist()):
-        term = terms[k].as_py()
-        for j in range(start, end):
-            yield term, int(documents[k]) if j == start else 0, sources[source_of[j]], int(counts[j])
-        start = end
+def _groups(keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal keys start and end."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return [0, *cuts.tolist()], [*cuts.tolist(), len(keys)]
 
 
-def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The kept terms of a shard: its runs, term by term, by a heap."""
     by_lang: dict[str, list] = defaultdict(list)
     for batch in batches:
         for k, lang in enumerate(batch.column("lang").to_pylist()):
-            by_lang[lang].append((batch, k))
-    rows = []
+            number = lambda c: batch.column(c)[k].values.to_numpy()  # noqa: B023, E731
+            by_lang[lang].append((batch.column("terms")[k].as_py(), number("documents").tolist(), number("ends"), batch.column("sources")[k].as_py(), number("source_of"), number("counts")))
     for lang in sorted(by_lang):
-        for term, postings in groupby(heapq.merge(*(_postings(*run) for run in by_lang[lang]), key=itemgetter(0)), key=itemgetter(0)):
-            documents, counts = 0, Counter()
-            for _, n_documents, source, n in postings:
-                documents += n_documents
-                counts[source] += n
-            if documents >= KEPT_IN:
-                rows.append((lang, term.decode(), sum(counts.values()), list(counts), list(counts.values())))
-            if len(rows) == 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT_SCHEMA)], schema=_KEPT_SCHEMA)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT_SCHEMA)], schema=_KEPT_SCHEMA)
+        found, documents, last = [], [], None
+        number_of = [[0] * len(run[0]) for run in by_lang[lang]]
+        for term, run, k in heapq.merge(*(zip(of_run[0], repeat(r), range(len(of_run[0]))) for r, of_run in enumerate(by_lang[lang]))):
+            if term != last:
+                last = term
+                found.append(term)
+                documents.append(0)
+            documents[-1] += by_lang[lang][run][1][k]
+            number_of[run][k] = len(found) - 1
+        kept = np.array(documents, np.int64) >= KEPT_IN
+        if not kept.any():
+            continue
+        place: dict[str, int] = {}
+        keys, sums = [], []
+        for numbers, (_, _, ends, sources, source_of, counts) in zip(number_of, by_lang[lang]):
+            of_posting = np.repeat(np.array(numbers, np.int64), np.diff(ends, prepend=0))
+            mine = kept[of_posting]
+            source = np.array([place.setdefault(s, len(place)) for s in sources], np.int64)[source_of[mine]]
+            keys.append(of_posting[mine] << 32 | source)
+            sums.append(counts[mine])
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.zeros(len(key), np.int64)
+        np.add.at(count, at, np.concatenate(sums))
+        names, term_of, source = list(place), key >> 32, (key & 0xFFFFFFFF).tolist()
+        count = count.tolist()
+        rows = [(lang, found[term_of[a]].decode(), sum(count[a:b]), [names[k] for k in source[a:b]], count[a:b]) for a, b in zip(*_groups(term_of))]
+        for start in range(0, len(rows), 5_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[start : start + 5_000]), _KEPT_SCHEMA)], schema=_KEPT_SCHEMA)
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
     """(lang, term, total, sources, counts) of each language's kept terms."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    held = fixed(runs(docs, int(size // SHARD_BYTES) + 8))
+    shards = int(size // SHARD_BYTES) + 8
+    held = fixed(runs(docs, shards))
 
     def shard(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from merged(key, batches)
+        yield from merged(batches)
 
-    return fixed(held.groupBy("shard").applyInArrow(shard, "lang string, term string, total long, sources array<string>, counts array<long>"))
+    return fixed(held.repartition(shards, "shard").groupBy("shard").applyInArrow(shard, "lang string, term string, total long, sources array<string>, counts array<long>"))
 
 
 def _p(count, n, v):
