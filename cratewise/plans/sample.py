@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,16 @@ def stratified_sample(
     chosen = first.select("track_id").unionByName(second)
     third = _fill(ranked.join(chosen, "track_id", "left_anti"), size - got[0] - second.count())
     return chosen.unionByName(third)
+
+
+def nested_samples(
+    tracks: DataFrame, sizes: list[tuple[int, int, float]], in_floor: Column, is_hit: Column, stratum: Column, best_first: list[Column]
+) -> DataFrame:
+    """(track_id, level) of samples of several sizes, each of (size, floor, hits share), the largest first. A smaller one is
+    drawn from the next larger one, so that it lies in it; level k is a sample of its own together with all levels above."""
+    levels, pool = [], tracks
+    for k, (size, floor, share) in enumerate(sizes):
+        chosen = fixed(stratified_sample(pool, size, floor, share, in_floor, is_hit, stratum, best_first))
+        levels.append(chosen.withColumn("level", F.lit(k)))
+        pool = pool.join(chosen, "track_id", "left_semi")
+    return reduce(DataFrame.unionByName, levels).groupBy("track_id").agg(F.max("level").alias("level"))

@@ -554,12 +554,29 @@ stage("st_raw")(lambda r: r.keep(assemble.merge_tiers(r.st_sel, r.st_dims1, r.st
 stage("st_catalog")(lambda r: r.keep(assemble.build_catalog(r.st_sel, r.st_raw, r.st_hits, r.st_genre, r.st_cluster, r.clusters, "v1")))
 
 
-@query("i16_merged_tiers", """
+_TIER_AXES = ("raw_energy", "raw_intensity", "raw_complexity", "raw_tempo")
+
+
+@query("i16_merged_tiers")
+def i16(r: Roles):
+    """All three tiers. SQL cannot express the model's predictions: see ``i16_tier_sources``, ``i16_measured_axes`` and tests/test_catalog_rules.py."""
+    return r.st_raw.select("song", "feature_source", *[F.round(x, 8).alias(x) for x in _TIER_AXES], "raw_bpm", F.round("confidence", 8).alias("confidence"))
+
+
+@query("i16_tier_sources", f"""
+    WITH mu AS (SELECT song, CASE WHEN held OR coalesce(n, 0) - CAST(has_y AS INTEGER) <= 0 THEN 0 ELSE 1 END AS has_art FROM o_imp b LEFT JOIN (SELECT first_artist, count(*) AS n FROM o_imp WHERE has_y GROUP BY 1) g ON g.first_artist = b.first_artist)
+    SELECT o.song, o.feature_source, round(o.raw_complexity, 8) AS raw_complexity, o.raw_bpm, round(CASE WHEN o.feature_source <> 'model' THEN o.confidence WHEN m.has_art = 1 THEN 0.6 ELSE 0.45 END, 8) AS confidence
+    FROM o_raw o LEFT JOIN mu m ON m.song = o.song""")
+def i16_sources(r: Roles):
+    return r.st_raw.select("song", "feature_source", F.round("raw_complexity", 8).alias("raw_complexity"), "raw_bpm", F.round("confidence", 8).alias("confidence"))
+
+
+@query("i16_measured_axes", """
     SELECT song, feature_source, round(raw_energy, 8) AS raw_energy, round(raw_intensity, 8) AS raw_intensity, round(raw_complexity, 8) AS raw_complexity,
            round(raw_tempo, 8) AS raw_tempo, raw_bpm, round(confidence, 8) AS confidence FROM o_raw WHERE feature_source <> 'model'""")
-def i16(r: Roles):
-    return r.st_raw.where("feature_source <> 'model'").select(
-        "song", "feature_source", *[F.round(x, 8).alias(x) for x in ("raw_energy", "raw_intensity", "raw_complexity", "raw_tempo")], "raw_bpm", F.round("confidence", 8).alias("confidence"))
+def i16_measured(r: Roles):
+    measured = r.st_raw.join(r.st_dims1.select("song").union(r.st_dims2.select("song")), "song", "left_semi")
+    return measured.select("song", "feature_source", *[F.round(x, 8).alias(x) for x in _TIER_AXES], "raw_bpm", F.round("confidence", 8).alias("confidence"))
 
 
 @query("i23_catalog_assembly", """
@@ -621,6 +638,14 @@ def i26(r: Roles):
         F.concat(F.coalesce("genre", F.lit("none")), F.lit("|"), F.coalesce("decade", F.lit("unknown"))), [c("hit").desc(), c("track_id").asc()])
 
 
+@query("i26_nested_samples")
+def i26_nested(r: Roles):
+    n = r.tracks.count()
+    return sample.nested_samples(
+        r.tracks, [(n // 4, n // 40, 0.8), (n // 20, n // 200, 0.6)], (c("market") == "il") | (c("country") == "IL"), c("tier") == 0,
+        F.concat(F.coalesce("genre", F.lit("none")), F.lit("|"), F.coalesce("decade", F.lit("unknown"))), [c("hit").desc(), c("track_id").asc()])
+
+
 @query("i27_quality_report", """
     SELECT section, key, n, round(n / CAST((SELECT count(*) FROM tracks) AS DOUBLE), 4) AS share FROM (
       SELECT 'decade' AS section, decade AS key, count(*) AS n FROM tracks GROUP BY 2 UNION ALL SELECT 'genre', genre, count(*) FROM tracks GROUP BY 2
