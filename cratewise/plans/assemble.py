@@ -9,6 +9,7 @@ from cratewise.functions.features import AUDIO_DIMS, SCALED_DIMS, clamp, feature
 from cratewise.functions.text import is_holiday_title, norm_title
 from cratewise.operators.aggregates import ordered_map
 from cratewise.operators.ranking import average_rank_scale, surrogate_ids
+from cratewise.session import bounded
 
 SLOTS = 4
 NONE_CODE, INSTRUMENTAL_CODE = 255, 254
@@ -63,7 +64,7 @@ def scaled_axes(raw: DataFrame) -> DataFrame:
 def build_catalog(sel: DataFrame, raw: DataFrame, hits: DataFrame, genre: DataFrame, weights: DataFrame,
                   clusters: DataFrame, version: str) -> DataFrame:
     maps = ordered_map(
-        weights.join(sel.select("song"), "song", "left_semi").join(F.broadcast(clusters), "cluster"),
+        weights.join(sel.select("song"), "song", "left_semi").join(bounded(clusters), "cluster"),
         ["song"], "ord", "cluster", "w", "clusters",
     )
     # Rounded twice: a value on a rounding edge must not depend on the order its parts were added in.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions.features import GENRE_CLASSES
 from cratewise.functions.text import is_non_music_title
+from cratewise.session import bounded
 
 # --- fixed values -----------------------------------------------------------------------------------
 LEVELS = {1: ("recording", "1.00"), 2: ("release_group", "0.50"), 3: ("artist", "0.25")}
@@ -51,7 +52,7 @@ def cluster_evidence(tags: DataFrame, tag_map: DataFrame, clusters: DataFrame) -
     """
     mapped = tag_map.join(clusters.select(F.col("cluster").alias("key")), "key", "left_semi")
     v = F.sum(F.col("votes") * F.col("value").cast("decimal(9,4)")).cast("double")
-    per_level = tags.join(F.broadcast(mapped), "tag").groupBy("song", "level", F.col("key").alias("cluster")).agg(v.alias("v"))
+    per_level = tags.join(bounded(mapped), "tag").groupBy("song", "level", F.col("key").alias("cluster")).agg(v.alias("v"))
     share = (F.col("v") / F.sum("v").over(Window.partitionBy("song", "level"))).cast("decimal(18,9)")
     return per_level.withColumn("w", share).groupBy("song", "cluster").agg(F.sum(F.col("w") * level_weight()).alias("b"))
 
@@ -59,7 +60,7 @@ def cluster_evidence(tags: DataFrame, tag_map: DataFrame, clusters: DataFrame) -
 def evidence_level(tags: DataFrame, tag_map: DataFrame, clusters: DataFrame) -> DataFrame:
     """(song, genre_source): the most specific level with a mapped tag."""
     mapped = tag_map.join(clusters.select(F.col("cluster").alias("key")), "key", "left_semi").select("tag").distinct()
-    hit = tags.join(F.broadcast(mapped), "tag", "left_semi")
+    hit = tags.join(bounded(mapped), "tag", "left_semi")
     return hit.groupBy("song").agg(level_name(F.min("level")).alias("genre_source"))
 
 
@@ -70,7 +71,7 @@ def classifier_evidence(song_ab: DataFrame, tagged: DataFrame, classes: DataFram
     long = untagged.select("song", *used).unpivot(["song"], used, "class", "p").where(F.col("p") >= floor)
     mapped = classes.join(clusters.select("cluster"), "cluster", "left_semi")
     b = F.sum(F.col("p").cast("decimal(12,6)") * F.col("value").cast("decimal(9,4)"))
-    return long.join(F.broadcast(mapped), "class").groupBy("song", "cluster").agg(b.alias("b"))
+    return long.join(bounded(mapped), "class").groupBy("song", "cluster").agg(b.alias("b"))
 
 
 def cluster_weights(evidence: DataFrame, clusters: DataFrame, floor: float = 0.1, keep: int = 4) -> DataFrame:
@@ -81,7 +82,7 @@ def cluster_weights(evidence: DataFrame, clusters: DataFrame, floor: float = 0.1
     song = Window.partitionBy("song")
     b = evidence.withColumn("b", F.col("b").cast("double"))
     shares = b.withColumn("_w", F.col("b") / F.sum("b").over(song)).where(F.col("_w") >= floor)
-    ranked = shares.join(F.broadcast(clusters), "cluster").withColumn(
+    ranked = shares.join(bounded(clusters), "cluster").withColumn(
         "rk", F.row_number().over(song.orderBy(F.col("_w").desc(), "ord"))
     ).where(F.col("rk") <= keep)
     return ranked.select("song", "cluster", F.round(F.col("_w") / F.sum("_w").over(song), 3).alias("w"), "rk")
@@ -99,11 +100,11 @@ def nudges(cand: DataFrame, tags: DataFrame, tag_map: DataFrame, weights: DataFr
     """(song, dim, tag_mean, prior) for the tag-nudged axes."""
     effect = tag_map.where(F.col("key").isin(*NUDGED)).withColumnRenamed("key", "dim")
     weight = F.col("votes") * level_weight()
-    parts = tags.join(F.broadcast(effect), "tag").groupBy("song", "dim").agg(
+    parts = tags.join(bounded(effect), "tag").groupBy("song", "dim").agg(
         F.sum(weight * F.col("value").cast("decimal(9,4)")).cast("double").alias("_s"), F.sum(weight).cast("double").alias("_n")
     ).select("song", "dim", (F.col("_s") / F.col("_n")).alias("tag_mean"))
     lean = F.sum(F.col("w").cast("decimal(9,4)") * F.col("value").cast("decimal(9,4)")).cast("double")
-    prior = weights.join(F.broadcast(priors.withColumnRenamed("key", "dim")), "cluster").groupBy("song", "dim").agg(lean.alias("prior"))
+    prior = weights.join(bounded(priors.withColumnRenamed("key", "dim")), "cluster").groupBy("song", "dim").agg(lean.alias("prior"))
     grid = cand.select("song", F.explode(F.array(*[F.lit(d) for d in NUDGED])).alias("dim"))
     wide = grid.join(parts, ["song", "dim"], "left").join(prior, ["song", "dim"], "left")
     return wide.select("song", "dim", "tag_mean", F.coalesce("prior", F.lit(0.0)).alias("prior"))
@@ -113,7 +114,7 @@ def non_music_votes(tags: DataFrame, tag_map: DataFrame, non_music: DataFrame) -
     """(song, flag): whether non-music tags outvote genre tags at the most specific level with either."""
     spoken = non_music.select("tag", F.lit(1).alias("_nm")).distinct()
     genre = tag_map.select("tag", F.lit(1).alias("_gm")).distinct()
-    marked = tags.join(F.broadcast(spoken), "tag", "left").join(F.broadcast(genre), "tag", "left")
+    marked = tags.join(bounded(spoken), "tag", "left").join(bounded(genre), "tag", "left")
     sums = marked.groupBy("song", "level").agg(
         F.sum(F.when(F.col("_nm") == 1, F.col("votes")).otherwise(0)).alias("nm"),
         F.sum(F.when(F.col("_gm") == 1, F.col("votes")).otherwise(0)).alias("gm"),

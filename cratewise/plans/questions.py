@@ -48,6 +48,18 @@ class Bank:
         return self.effects.groupBy("question_id", "grp", "k").agg(F.sum(v).alias("d"))
 
 
+#: Questions of a block, on average.
+BLOCK_QUESTIONS = 1_024
+
+
+def each_question(people: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every row of ``people`` with every question_id: the questions in blocks of bounded size, which rows meet by number."""
+    blocks = -(-questions.count() // BLOCK_QUESTIONS)
+    listed = questions.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(max(1, blocks))).cast("int").alias("_block")).agg(F.collect_list("question_id").alias("_q"))
+    asked = people.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
+    return asked.join(listed, "_block").select(*people.columns, F.explode("_q").alias("question_id"))
+
+
 def eligible_questions(answers: DataFrame, sums: DataFrame, bank: Bank, enabled: list[str] | None = None) -> DataFrame:
     """(session_id, question_id): canonical questions whose family is unasked, pack enabled and lock open."""
     fam = bank.families()
@@ -60,9 +72,7 @@ def eligible_questions(answers: DataFrame, sums: DataFrame, bank: Bank, enabled:
     for t in locked:
         free = free.join(t, "question_id", "left_anti")
     sessions = answers.select("session_id").distinct()
-    # The bank travels with each session as one literal-sized array and is exploded in place.
-    listed = free.agg(F.collect_list("question_id").alias("_q"))
-    open_ = sessions.join(F.broadcast(listed), F.lit(True)).select("session_id", F.explode("_q").alias("question_id"))
+    open_ = each_question(sessions, free)
     if bank.unlock_answers is not None:
         refs = bank.unlock_answers.join(fam.withColumnRenamed("question_id", "ref_question"), "ref_question")
         hit = asked.join(refs, "canonical").where((F.col("choice") == F.col("ref_side")) | (F.col("choice") == "both"))
@@ -222,8 +232,7 @@ def persona_choices(
     named = effects.where("grp <> 'scalar'").join(aimed, "grp").join(categories, ["persona", "grp", "k"], "left")
     group = named.select("persona", "question_id", "side", F.when(F.col("w").isNotNull(), F.col("v") * F.col("w")).otherwise(-non_target * F.col("v")).alias("u"))
     people = categories.select("persona").union(ranges.select("persona")).distinct()
-    listed = effects.select("question_id").distinct().agg(F.collect_list("question_id").alias("_q"))
-    grid = people.join(F.broadcast(listed), F.lit(True)).select("persona", F.explode("_q").alias("question_id"))
+    grid = each_question(people, effects.select("question_id").distinct())
     total = axis.unionByName(group).groupBy("persona", "question_id").agg(
         F.sum(F.when(F.col("side") == "a", F.col("u"))).alias("a"), F.sum(F.when(F.col("side") == "b", F.col("u"))).alias("b")
     )

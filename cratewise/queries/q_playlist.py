@@ -70,7 +70,7 @@ _TOP = "SELECT request, arg_min(k, (-p, ord)) AS genre FROM taste_group WHERE gr
 def k1(r: Roles):
     top = r.taste_group.where("grp = 'genres'").groupBy("request").agg(F.min_by("k", F.struct(-c("p"), "ord")).alias("genre"))
     asked = top.join(r.k_taste, "request").repartition(shuffle_width(r.spark), "request")
-    rows = asked.join(r.k_tracks, "genre").select("request", pl.score().alias("score"))
+    rows = asked.join(r.k_tracks, "genre").select("request", pl.score(slots=pl.most_clusters(r.k_tracks)).alias("score"))
     return rows.groupBy("request").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 

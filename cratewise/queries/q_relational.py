@@ -10,7 +10,7 @@ from cratewise.operators import apportion, joins, ranking
 from cratewise.plans import select as sel
 from cratewise.queries.registry import query
 from cratewise.queries.roles import Roles
-from cratewise.session import lookup
+from cratewise.session import bounded, lookup
 
 c = F.col
 
@@ -232,7 +232,7 @@ def c12(r: Roles):
 @query("c13_star_lookup", """
     SELECT t.tag, m.key, count(*) AS n, CAST(sum(t.votes) AS BIGINT) AS votes FROM recording_tag t JOIN tag_map m ON m.tag = t.tag GROUP BY 1, 2""")
 def c13(r: Roles):
-    return r.recording_tag.join(F.broadcast(r.tag_map.select("tag", "key")), "tag").groupBy("tag", "key").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
+    return r.recording_tag.join(bounded(r.tag_map.select("tag", "key")), "tag").groupBy("tag", "key").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
 
 
 @query("c14_display_in_request_order", """

@@ -61,5 +61,10 @@ def lookup(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, counted now; a larger one is shuffled."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -69,3 +69,13 @@ def test_score_counts_every_cluster(spark, world):
     rows = tracks.limit(1).withColumn("clusters", F.create_map(*[F.lit(x) for pair in many.items() for x in pair])).join(pl.request_tastes(scalars, groups).where("request = 1"), F.lit(True))
     few = rows.withColumn("clusters", F.create_map(F.lit("rock"), F.lit(0.5)))
     assert rows.select(pl.score().alias("s")).first() == few.select(pl.score().alias("s")).first()
+
+
+def test_score_spelled_out_equals_the_general_form(spark, world):
+    tracks, scalars, groups = world
+    clusters = F.create_map(F.lit("rock"), F.lit(0.5), F.lit("jazz"), F.lit(0.3), F.lit("folk"), F.lit(0.2))
+    rows = tracks.withColumn("clusters", F.when(F.col("track_id") % 2 == 0, clusters).otherwise(F.col("clusters"))).join(pl.request_tastes(scalars, groups), F.lit(True))
+    assert pl.most_clusters(rows) == 3
+    assert rows.where(pl.score() != pl.score(slots=3)).count() == 0
+    plan = rows.select(pl.score(slots=3))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
