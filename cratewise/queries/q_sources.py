@@ -156,6 +156,35 @@ def a15(r: Roles):
     return sink.content_digest(r.tracks, ["track_id", "title", "genre", "year", "listeners"])
 
 
+_TREE_ROWS = ["track_id", "title", "genre", "year", "listeners"]
+
+
+def _tree_sql(rows: str) -> str:
+    """(node, n, digest) of a hash tree of two levels below its root."""
+    row = "to_json({" + ", ".join(f"'{c}': {c}" for c in _TREE_ROWS) + "})"
+    return f"""
+      l2 AS (SELECT substr(sha256(CAST(track_id AS VARCHAR)), 1, 2) AS node, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT track_id, sha256(CAST({row} AS VARCHAR)) AS h FROM {rows}) GROUP BY 1),
+      l1 AS (SELECT substr(node, 1, 1) AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, '' ORDER BY node)) AS digest FROM l2 GROUP BY 1),
+      l0 AS (SELECT '' AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, '' ORDER BY node)) AS digest FROM l1)"""
+
+
+_CHANGED = "(SELECT track_id, CASE WHEN track_id % 997 = 0 THEN title || '!' ELSE title END AS title, genre, year, listeners FROM tracks WHERE track_id % 1009 <> 5)"
+
+
+@query("a15_hash_tree", f"WITH {_tree_sql('tracks')} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2")
+def a15_tree(r: Roles):
+    return sink.hash_tree(r.tracks, "track_id", 2, _TREE_ROWS)
+
+
+@query("a22_differing_ranges", f"""
+    SELECT coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS n_other FROM (WITH {_tree_sql('tracks')} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) a
+    FULL JOIN (WITH {_tree_sql(_CHANGED)} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) b ON a.node = b.node WHERE a.digest IS DISTINCT FROM b.digest""")
+def a22_ranges(r: Roles):
+    """Where a catalog differs from one with some titles changed and some tracks gone."""
+    other = r.tracks.where("track_id % 1009 <> 5").withColumn("title", F.when(F.col("track_id") % 997 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return sink.differing_ranges(sink.hash_tree(r.tracks, "track_id", 2, _TREE_ROWS), sink.hash_tree(other, "track_id", 2, _TREE_ROWS))
+
+
 @query("a16_csv_rows", """
     SELECT doc_id, CASE WHEN regexp_matches(c, '[",\\r\\n]|^\\s|\\s$') THEN '"' || replace(c, '"', '""') || '"' ELSE c END
            || ',' || source || ',,,US' || doc_id || ',' || doc_id AS line

@@ -62,3 +62,21 @@ def test_digest_tells_nulls_apart(spark):
 
     digest = lambda rows: sink.content_digest(spark.createDataFrame(rows, "a string, b string")).first()[0]
     assert digest([(None, "1990")]) != digest([("1990", None)])
+
+
+def test_hash_trees_tell_where_tables_differ(spark):
+    rows = spark.range(5_000).select("id", (F.col("id") % 7).alias("v"), F.when(F.col("id") % 5 > 0, F.lit("x")).alias("t"))
+    depth = sink.tree_depth(5_000)
+    assert depth == 2 and sink.tree_depth(0) == sink.tree_depth(256) == 0
+    tree = sink.hash_tree(rows, "id", depth).cache()
+    assert sink.differing_ranges(tree, sink.hash_tree(rows.repartition(5).orderBy(F.desc("v")), "id", depth)).count() == 0
+    leaves = tree.where("length(node) = 2")
+    assert tree.where("node = ''").first().n == 5_000 and leaves.agg(F.sum("n")).first()[0] == 5_000 and leaves.count() > 200
+    # Two rows trade their values: a sum of row hashes over columns could not be told from the ids alone.
+    other = rows.withColumn("v", F.when(F.col("id") == 3, 4).when(F.col("id") == 4, 3).otherwise(F.col("v"))).where("id <> 4999")
+    found = {r.node: (r.n, r.n_other) for r in sink.differing_ranges(tree, sink.hash_tree(other, "id", depth)).collect()}
+    import hashlib
+
+    touched = {hashlib.sha256(str(i).encode()).hexdigest()[:2] for i in (3, 4, 4999)}
+    assert {k for k in found if len(k) == 2} == touched and found[""] == (5_000, 4_999)
+    assert sink.hash_tree(rows.limit(0), "id", 1).count() == 0
