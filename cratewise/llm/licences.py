@@ -9,7 +9,8 @@ file and gives its licence to its directory. Every other file takes the licence
 
 A cosine of c needs shared terms with c squared of the template's squared weight. So a passage has one of the fewest, heaviest
 terms of a template that have more than the rest of it: windows are taken around these terms alone, up to twice the terms of
-the longest template. Units are compared at any length.
+the longest template. Units are compared at any length. Before any window is compared, the terms of the whole text, and then those
+of all windows around a unit, must have that share of some template's squared weight; which terms are frequent does not matter.
 
 Null and empty texts have no passage, and inherit; null paths stand at the root. "All rights reserved" counts only in a file
 without another licence. Ties go to the higher cosine, then the licence's name, then the passage's place; of licence files in
@@ -108,6 +109,8 @@ class Scanner:
     def own(self, text: str) -> tuple[str, float, int] | None:
         """(licence, cosine, characters of its passages), or None."""
         spdx = _SPDX.search(text)
+        if not spdx and not self.within_reach(set(re.split(_SPLIT, text.lower()))):
+            return None
         units = _PASSAGES.split(text)
         bags = [terms(u) for u in units]
         near = [k for k, bag in enumerate(bags) if not self.telling.isdisjoint(bag)]
@@ -115,6 +118,8 @@ class Scanner:
         sizes = [sum(bag.values()) for bag in bags]
         starts = set()
         for k in near:
+            if not self.within_reach(self._around(bags, sizes, k)):
+                continue
             first, n = k, sizes[k]
             while first >= 0 and (first == k or n <= self.most):
                 starts.add(first)
@@ -131,6 +136,22 @@ class Scanner:
         score, name, _, _ = min(found, key=lambda f: (f[1] == "Proprietary", -f[0], f[1], f[2], f[3]))
         return name, score, self._size(units, self._spans(found, name))
 
+    def within_reach(self, have: set[str]) -> bool:
+        """Whether a passage of such terms alone can reach the threshold for a template: by Cauchy-Schwarz its cosine is at most
+        the length of the template's part that it shares."""
+        shared = [self.vectors[t] for t in have if t in self.vectors]
+        return bool(shared) and bool((np.square(shared).sum(axis=0) >= self.threshold**2 - 1e-9).any())
+
+    def _around(self, bags: list[Counter], sizes: list[int], k: int) -> set[str]:
+        """The terms of all windows that hold unit k."""
+        have = set(bags[k])
+        for step in (-1, 1):
+            at, n = k + step, sizes[k]
+            while 0 <= at < len(bags) and (n := n + sizes[at]) <= self.most:
+                have |= bags[at].keys()
+                at += step
+        return have
+
     @staticmethod
     def _size(units: list[str], spans: list[tuple[int, int]]) -> int:
         counted = [len(units[k]) for a, b in spans for k in range(a, b) if not _COMMENT.match(units[k])]
