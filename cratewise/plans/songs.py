@@ -24,8 +24,9 @@ class Dedupe:
 def heard_canonical(listens: DataFrame, recordings: DataFrame, redirects: DataFrame, canon: DataFrame) -> DataFrame:
     """Top-list rows on canonical recordings: user_id, canon, gid, listens."""
     ids = recordings.select("gid", "id").unionByName(redirects.select("gid", F.col("new_id").alias("id")))
-    at = listens.join(ids, "gid").withColumnRenamed("id", "recording")
-    return at.join(canon, "recording").select("user_id", "canon", "gid", "listens")
+    # Ids meet their canonical recordings first, so that listens are shuffled once.
+    at = ids.withColumnRenamed("id", "recording").join(canon, "recording").select("gid", "canon")
+    return listens.join(at, "gid").select("user_id", "canon", "gid", "listens")
 
 
 def build_songs(
@@ -39,7 +40,7 @@ def build_songs(
     when nobody lists them; ``seed_title`` does the same by title.
     """
     canon = resolve_redirects(recordings, redirects, canonical)
-    heard = heard_canonical(listens, recordings, redirects, canon)
+    heard = fixed(heard_canonical(listens, recordings, redirects, canon))
     # One row per (canon, user) serves both the popularity of canons and that of units.
     by_user = fixed(heard.groupBy("canon", "user_id").agg(F.sum("listens").alias("listens"), F.count("*").alias("rows")))
     pop = by_user.groupBy("canon").agg(F.count("*").alias("users"), F.sum("listens").alias("listens"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cratewise.session import fixed, tune
+from cratewise.session import fixed, limit_broadcasts, tune
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -342,7 +342,7 @@ class Roles:
     _cache: dict[tuple, Roles] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = tune(spark)
+        self.spark = limit_broadcasts(tune(spark))
         self.folder = folder
         self._built: dict[str, DataFrame] = {}
 

@@ -19,6 +19,10 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+#: What a table may weigh to be broadcast unasked. A plan made before a run knows sizes of files alone, where repeated values take
+#: next to no room: millions of rows can weigh a few MB. What was shuffled is known by the size of its rows.
+_BROADCASTS = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4m"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator assumes (AQE with skew splitting, UTC)."""
@@ -27,6 +31,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def limit_broadcasts(spark: SparkSession) -> SparkSession:
+    """Keep rows out of the driver where only the size of a file speaks for a broadcast. Hints stay as they are."""
+    for key, value in _BROADCASTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext

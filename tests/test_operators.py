@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cratewise.operators import apportion, joins, ranking
+from cratewise.queries.roles import Roles
 
 
 @pytest.fixture(scope="module")
@@ -112,6 +113,16 @@ def test_sibling_totals_equal_listing_the_pairs(spark, heavy_key):
     assert got == want
 
 
+def test_the_size_of_a_file_does_not_make_a_broadcast(spark, tmp_path):
+    session = Roles(spark.newSession(), str(tmp_path)).spark
+    session.range(4_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000)).alias("k")).write.parquet(f"{tmp_path}/many")
+    many = session.read.parquet(f"{tmp_path}/many")  # 4 million rows in some 5 MB
+    plan = session.range(1_000_000_000).withColumnRenamed("id", "k").join(many, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    few = session.createDataFrame([(1,)], "k long")
+    assert "Broadcast" in many.join(F.broadcast(few), "k")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hierarchy_stops_at_labelled_nodes(spark):
     parents = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (7, 6), (2, 1)], "child int, parent int")
     labels = spark.createDataFrame([(1, "US"), (4, "IL"), (2, "FR")], "node int, label string")
