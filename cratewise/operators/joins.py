@@ -69,7 +69,9 @@ def sibling_totals(
     per value of the ``split`` columns.
     """
     sums = [F.sum(c).alias(n) for n, c in measures.items()]
-    counted = keys.distinct().join(values.select("recording").distinct(), "recording", "left_semi")
+    keys = fixed(keys.join(song_keys.select("key").distinct(), "key", "left_semi").distinct())
+    values = fixed(values.join(keys.select("recording").distinct(), "recording", "left_semi"))
+    counted = keys.join(values.select("recording").distinct(), "recording", "left_semi")
     heavy = fixed(counted.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_key).select("key"))
     asked = song_keys.distinct()
     light = asked.join(counted, "key").join(heavy, "key", "left_anti").select("song", "recording").distinct()

@@ -9,6 +9,7 @@ from cratewise.functions.features import AUDIO_DIMS, PROBABILITIES, certainty, r
 from cratewise.operators.aggregates import decimal_sums, means_of_sums
 from cratewise.operators.joins import sibling_totals
 from cratewise.operators.ranking import exact_median, median_of_counts
+from cratewise.session import fixed
 
 
 def recording_sums(submissions: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,10 +49,12 @@ def sibling_features(
 
     ``need``: song, first_artist of songs without tier 1.
     """
-    own = song_rec.join(need, "song")
-    code = own.join(isrc, "recording").select("song", F.concat(F.lit("i:"), "isrc").alias("key"))
-    work = own.join(rec_work, "recording").select("song", _work_key("first_artist"))
-    song_keys = code.unionByName(work).distinct()
+    own = fixed(song_rec.join(need, "song"))
+    of_own = lambda table: own.join(table.join(own.select("recording").distinct(), "recording", "left_semi"), "recording")
+    code = of_own(isrc).select("song", F.concat(F.lit("i:"), "isrc").alias("key"))
+    work = of_own(rec_work).select("song", _work_key("first_artist"))
+    song_keys = fixed(code.unionByName(work).distinct())
+    keys = fixed(keys.join(song_keys.select("key").distinct(), "key", "left_semi"))
     mine = own.select("song", "recording")
     measures = {"n": F.col("n"), **{p: F.col(p) for p in PROBABILITIES}}
     totals = sibling_totals(song_keys, mine, keys, sums, measures).where("n > 0")

@@ -113,6 +113,20 @@ def test_sibling_totals_equal_listing_the_pairs(spark, heavy_key):
     assert got == want
 
 
+def test_siblings_keep_nothing_that_no_song_asks_for(spark, monkeypatch):
+    kept, write = [], joins.fixed
+    monkeypatch.setattr(joins, "fixed", lambda df: kept.append(write(df)) or kept[-1])
+    keys = [(rec, "asked") for rec in range(5)] + [(rec, f"other{rec % 2}") for rec in range(5, 60)]
+    out = joins.sibling_totals(
+        spark.createDataFrame([(1, "asked")], "song int, key string"), spark.createDataFrame([(1, 0)], "song int, recording int"),
+        spark.createDataFrame(keys, "recording int, key string"), spark.createDataFrame([(i, i) for i in range(60)], "recording int, v int"),
+        {"n": F.lit(1), "s": F.col("v")}, heavy_key=3,
+    )
+    assert [tuple(r) for r in out.collect()] == [(1, 4, 10)]
+    assert kept and all(df.where("recording >= 5").isEmpty() for df in kept if "recording" in df.columns)
+    assert all(df.where("key <> 'asked'").isEmpty() for df in kept if "key" in df.columns)
+
+
 def test_the_size_of_a_file_does_not_make_a_broadcast(spark, tmp_path):
     session = Roles(spark.newSession(), str(tmp_path)).spark
     session.range(4_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000)).alias("k")).write.parquet(f"{tmp_path}/many")
