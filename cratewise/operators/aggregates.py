@@ -39,9 +39,18 @@ def ordered_map(df: DataFrame, by: list[str], order: str, key: str, value: str,
     return listed.select(*by, F.map_from_entries(F.transform("_l", lambda e: F.struct(e["k"], e["v"]))).alias(name))
 
 
+def hundred_thousandths(x: Column) -> Column:
+    """``x`` as a whole number of 0.00001, rounded as a cast to decimal(12,5) rounds. Only what lies near a tie, or is no plain number, takes that cast."""
+    scaled = x * 100_000
+    whole = F.rint(scaled)
+    plain = (F.abs(scaled - whole) < 0.49) & (F.abs(x) < 1_000)
+    return F.when(plain, whole.cast("long")).otherwise(F.rint(x.cast("decimal(12,5)").cast("double") * 100_000).cast("long"))
+
+
 def decimal_sums(df: DataFrame, by: list[str], columns: list[str], count: str = "n") -> DataFrame:
-    """Row count and exact sums: decimal addition gives the same result in any order."""
-    sums = [F.sum(F.col(c).cast("decimal(12,5)")).alias(c) for c in columns]
+    """Row count and exact sums: whole numbers of 0.00001 give the same result in any order, and add up without decimal objects."""
+    exact = lambda n: (n.cast("decimal(22,0)") * F.lit("0.00001").cast("decimal(5,5)")).cast("decimal(22,5)")
+    sums = [exact(F.sum(hundred_thousandths(F.col(c)))).alias(c) for c in columns]
     return df.groupBy(*by).agg(F.count("*").alias(count), *sums)
 
 

@@ -13,9 +13,15 @@ from cratewise.session import fixed
 
 
 def recording_sums(submissions: DataFrame, ids: DataFrame) -> DataFrame:
-    """Submission count and exact probability sums per recording. ``ids``: gid, id (merged ids included)."""
-    at = submissions.withColumnRenamed("mbid", "gid").join(ids, "gid").withColumnRenamed("id", "recording")
-    return decimal_sums(at, ["recording"], list(PROBABILITIES))
+    """Submission count and exact probability sums per recording. ``ids``: gid, id (merged ids included).
+
+    Summed per gid first, so that wide rows of single submissions are not shuffled to meet their ids.
+    """
+    names = list(PROBABILITIES)
+    per_gid = decimal_sums(submissions, ["mbid"], names).withColumnRenamed("mbid", "gid")
+    at = per_gid.join(ids, "gid").withColumnRenamed("id", "recording")
+    sums = [F.sum(p).cast("decimal(22,5)").alias(p) for p in names]
+    return at.groupBy("recording").agg(F.sum("n").alias("n"), *sums)
 
 
 def recording_bpm(rhythm: DataFrame, ids: DataFrame) -> DataFrame:

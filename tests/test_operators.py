@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cratewise.operators import apportion, joins, ranking
+from cratewise.operators import aggregates, apportion, joins, ranking
 from cratewise.queries.roles import Roles
 
 
@@ -127,6 +127,19 @@ def test_siblings_keep_nothing_that_no_song_asks_for(spark, monkeypatch):
     assert all(df.where("key <> 'asked'").isEmpty() for df in kept if "key" in df.columns)
 
 
+def test_decimal_sums_round_as_decimals_and_add_whole_numbers(spark):
+    odd = [0.000005, 0.000015, 0.123455, 0.1234549999999999, -0.000005, 0.333335, 1.0, 0.0, 999.999995, 1_234_567.123455, None]
+    df = spark.createDataFrame([(i % 2, x) for i, x in enumerate(odd * 3)], "g int, p double")
+    out = aggregates.decimal_sums(df, ["g"], ["p"])
+    want = df.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("p").cast("decimal(12,5)")).alias("p"))
+    assert out.schema["p"].dataType == want.schema["p"].dataType
+    assert sorted(out.collect()) == sorted(want.collect())
+    each = df.select(aggregates.hundred_thousandths(F.col("p")).alias("a"), (F.col("p").cast("decimal(12,5)") * 100_000).cast("long").alias("b"))
+    assert each.where("not (a <=> b)").isEmpty()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(cast(p" not in plan
+
+
 def test_the_size_of_a_file_does_not_make_a_broadcast(spark, tmp_path):
     session = Roles(spark.newSession(), str(tmp_path)).spark
     session.range(4_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000)).alias("k")).write.parquet(f"{tmp_path}/many")
