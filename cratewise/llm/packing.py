@@ -13,11 +13,13 @@ file is read by the driver and sent to the tasks; its size does not depend on th
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,12 @@ from cratewise.llm.common import Numbering, documents, offsets_of, ranges, slice
 from cratewise.session import fixed
 
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 600_000
+#: Groups whose ids it remembers from slice to slice, and letters that its groups, and its words, may have; one slice more at most.
+REMEMBERED_GROUPS = 600_000
+REMEMBERED_LETTERS = 16_000_000
+#: Plain words that the tokenizer gets in one string.
+WORDS_AT_ONCE = 1_024
 #: Pieces in a salted part, on average.
 PART_PIECES = 200_000
 #: Text of which words are sure to be matched alike by the tokenizer's own pattern; other text goes to it unsplit.
@@ -48,7 +55,15 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        self.ends_word = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._forget()
+        self.groups, self.letters, self.recent = Numbering(), 0, np.zeros(0, np.int64)
+        self.group_ids, self.group_starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @classmethod
     def of_worker(cls, tokenizer_json: str) -> Words:
@@ -59,24 +74,52 @@ class Words:
         return _WORKER[key]
 
     def _forget(self) -> None:
-        self.numbers = Numbering()
+        self.numbers, self.word_letters = Numbering(), 0
         self.ids, self.used, self.starts = np.zeros(1 << 16, np.int32), 0, [0]
 
+    def _keep_recent(self) -> None:
+        """Only the groups of the last slice stay: frequent ones are among them."""
+        names, recent = list(self.groups), np.unique(self.recent)
+        sizes = self.group_starts[recent + 1] - self.group_starts[recent]
+        self.group_ids = self.group_ids[ranges(self.group_starts[recent], sizes)]
+        self.group_starts, self.groups = offsets_of(sizes), Numbering()
+        for n in recent.tolist():
+            self.groups[names[n]]
+        self.recent, self.letters = np.arange(len(recent)), sum(map(len, self.groups))
+
     def _learn(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32)
+        flat, sizes = self._tokenized(words)
+        self.word_letters += sum(map(len, words))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts += (self.used + np.cumsum([len(ids) for ids in encoded], dtype=np.int64)).tolist()
+        self.starts += (self.used + np.cumsum(sizes)).tolist()
         self.used += len(flat)
 
-    def encode(self, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, joined, and where each text's start."""
-        groups, lists = Numbering(), []
-        for text in all_texts:
-            lists.append(list(map(groups.__getitem__, text.replace("\n", " ").split(" "))))
-        if len(self.numbers) > REMEMBERED_WORDS:
+    def _tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, joined, and how many each has. Plain words go to the tokenizer many at a time, with a space between them,
+        and the ids that end a word tell them apart."""
+        if self.ends_word is None:
+            return self._one_by_one(words)
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        listed = list(compress(words, plain))
+        lines = [listed[at : at + WORDS_AT_ONCE] for at in range(0, len(listed), WORDS_AT_ONCE)]
+        parts = [self._one_by_one(list(compress(words, ~plain)))]
+        for line, encoded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
+            ids = np.array(encoded.ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            known = len(ends) == len(line) and ends[-1] == len(ids) - 1
+            parts.append((ids, np.diff(ends, prepend=-1)) if known else self._one_by_one(line))
+        flat, sizes = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(np.argsort(plain, kind="stable"))  # where each word went
+        return flat[ranges(offsets_of(sizes)[order], sizes[order])], sizes[order]
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(encoded), np.int32), np.array([len(ids) for ids in encoded], np.int64)
+
+    def _learn_groups(self, groups: list[str]) -> None:
+        if len(self.numbers) > REMEMBERED_WORDS or self.word_letters > REMEMBERED_LETTERS:
             self._forget()
         known, parts, counts = len(self.numbers), [], []
         number = self.numbers.__getitem__
@@ -88,16 +131,29 @@ class Words:
             parts += map(number, words)
             counts.append(len(words))
         if len(self.numbers) > known:
-            self._learn(list(self.numbers)[known:])
+            self._learn(list(islice(self.numbers, known, None)))
         starts = np.array(self.starts)
         parts_a = np.array(parts, np.int64)
         sizes = starts[parts_a + 1] - starts[parts_a]
-        group_ids = self.ids[ranges(starts[parts_a], sizes)]
-        group_starts = offsets_of(sizes)[offsets_of(np.array(counts, np.int64))]
-        flat = np.array([n for numbers in lists for n in numbers], np.int64)
-        lengths = np.diff(group_starts)[flat]
-        ends = offsets_of(lengths)[offsets_of(np.array([len(x) for x in lists], np.int64))]
-        return group_ids[ranges(group_starts[flat], lengths)], ends
+        ends = offsets_of(sizes)[offsets_of(np.array(counts, np.int64))]
+        self.group_starts = np.append(self.group_starts, self.group_starts[-1] + ends[1:])
+        self.group_ids = np.append(self.group_ids, self.ids[ranges(starts[parts_a], sizes)])
+        self.letters += sum(map(len, groups))
+
+    def encode(self, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, joined, and where each text's start."""
+        if len(self.groups) > REMEMBERED_GROUPS or self.letters > REMEMBERED_LETTERS:
+            self._keep_recent()
+        known = len(self.groups)
+        counts = np.array([text.count(" ") + text.count("\n") + 1 for text in all_texts], np.int64)
+        groups = chain.from_iterable(text.replace("\n", " ").split(" ") for text in all_texts)
+        flat = np.fromiter(map(self.groups.__getitem__, groups), np.int64, int(counts.sum()))
+        if len(self.groups) > known:
+            self._learn_groups(list(islice(self.groups, known, None)))
+        self.recent = flat
+        starts = self.group_starts[flat]
+        lengths = self.group_starts[flat + 1] - starts
+        return self.group_ids[ranges(starts, lengths)], offsets_of(lengths)[offsets_of(counts)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -87,3 +87,35 @@ def test_every_piece_is_used():
 
 def test_no_documents(spark, docs_of):
     assert packing.pack_documents(docs_of([]), PATH).collect() == []
+
+
+def test_groups_of_earlier_slices_are_not_split_again(public, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        words = packing.Words(f.read())
+    slices = [["red bolt, small\ngear"], ["gear red", "", "it's small"], ["日本 語　テ", "red bolt, small\ngear"]]
+    for some in slices:
+        ids, ends = words.encode(some)
+        assert [[*ids[ends[k] : ends[k + 1]].tolist(), 0] for k in range(len(some))] == [public(t) for t in some]
+    monkeypatch.setattr(packing, "_PLAIN", None)
+    assert words.encode(["small gear", "it's 語　テ"])[1][-1] == len(public("small gear")) + len(public("it's 語　テ")) - 2
+
+
+@pytest.mark.parametrize("limit", [("REMEMBERED_GROUPS", 4), ("REMEMBERED_LETTERS", 10), ("REMEMBERED_WORDS", 2)])
+def test_forgetting_keeps_ids(public, monkeypatch, limit):
+    monkeypatch.setattr(packing, *limit)
+    with open(PATH, encoding="utf-8") as f:
+        words = packing.Words(f.read())
+    for at in range(0, 3 * len(TEXTS), 3):
+        some = [TEXTS[k % len(TEXTS)] or "" for k in range(at, at + 4)]
+        ids, ends = words.encode(some)
+        assert [[*ids[ends[k] : ends[k + 1]].tolist(), 0] for k in range(len(some))] == [public(t) for t in some]
+
+
+def test_words_told_apart_in_one_string(public, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        words = packing.Words(f.read())
+    some = ["red", "'s", "日本", "\"</w>", "ñandú", "7", "</w></w>", "x" * 300, "ﬁ", "<|endoftext|>", "w"]
+    for at_once in (1, 3, 100):
+        monkeypatch.setattr(packing, "WORDS_AT_ONCE", at_once)
+        flat, sizes = words._tokenized(some)
+        assert [x.tolist() for x in packing.np.split(flat, packing.np.cumsum(sizes)[:-1])] == [public(w)[:-1] for w in some]
