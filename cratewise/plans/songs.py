@@ -102,8 +102,7 @@ def song_years(song_rec: DataFrame, first_year: DataFrame) -> DataFrame:
 
 
 def song_isrcs(song_rec: DataFrame, isrc: DataFrame) -> DataFrame:
-    codes = song_rec.join(isrc, "recording").select("song", "isrc").distinct()
-    return codes.groupBy("song").agg(F.array_sort(F.collect_list("isrc")).alias("isrcs"))
+    return song_rec.join(isrc, "recording").groupBy("song").agg(F.array_sort(F.collect_set("isrc")).alias("isrcs"))
 
 
 def song_languages(song_rec: DataFrame, rec_work: DataFrame, work_lang: DataFrame) -> DataFrame:

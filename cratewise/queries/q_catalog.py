@@ -50,6 +50,29 @@ oracle_stage("st_song", f"""
 oracle_stage("st_song_rec", "SELECT u.unit AS song, k.recording FROM o_unit u JOIN st_song s ON s.song = u.unit JOIN o_canon k ON k.canon = u.canon")
 
 
+# --- role tables dealt out by the key that their readers join on: the rows of their SQL, one shuffle for both -----------------------
+@stage("listen")
+def _listen(r: Roles):
+    merged = F.when((c("l_partkey") % 11 == 0) & (c("l_linenumber") < 3), "mr").otherwise("r")
+    rows = r.lineitem.where("l_partkey % 17 <> 3").join(r.orders, c("o_orderkey") == c("l_orderkey")).select(
+        "o_custkey", "l_partkey", F.concat(merged, F.lpad(c("l_partkey").cast("string"), 9, "0")).alias("gid"), "l_quantity")
+    summed = rows.repartition("gid").groupBy("o_custkey", "l_partkey", "gid").agg(F.sum("l_quantity").cast("bigint").alias("listens"))
+    return summed.select(c("o_custkey").cast("int").alias("user_id"), "gid", "listens")
+
+
+@stage("rec_work")
+def _rec_work(r: Roles):
+    rows = r.lineitem.where("l_partkey % 8 <> 2").select(c("l_partkey").cast("int").alias("recording"), c("l_orderkey").cast("int").alias("work"))
+    return rows.repartition("recording").distinct()
+
+
+@stage("isrc")
+def _isrc(r: Roles):
+    code = F.concat(F.lit("USABC"), F.lpad(c("l_orderkey").cast("string"), 7, "0"))
+    rows = r.lineitem.where("l_partkey % 4 <> 2").select(c("l_partkey").cast("int").alias("recording"), code.alias("isrc"))
+    return rows.repartition("recording").distinct()
+
+
 @stage("song_tables")
 def _song_tables(r: Roles):
     first = r.credit_name.where("position = 0").select("artist_credit", c("artist").alias("first_artist"))
@@ -113,7 +136,9 @@ def _rec_release(r: Roles):
 @stage("st_attr")
 def _attr(r: Roles):
     years = r.release_event.where("year is not null").groupBy("release").agg(F.min("year").alias("year"))
-    first_year = r.rec_release.join(years, "release").groupBy("recording").agg(F.min("year").alias("year"))
+    # Years meet media, which are few, before they meet tracks.
+    dated = r.medium.join(years, "release").groupBy("id").agg(F.min("year").alias("year"))
+    first_year = r.dump_track.join(dated, c("medium") == c("id")).groupBy("recording").agg(F.min("year").alias("year"))
     countries = joins.nearest_label(
         r.artist.where("area is not null").select(c("area").alias("node")), r.area_parent,
         r.area_iso.select(c("area").alias("node"), c("code").alias("label")),
