@@ -7,6 +7,7 @@ names with an operator's own columns cannot occur.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Callable, Iterator
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as Python strings at a time, besides its Arrow batch.
 SLICE_BYTES = 4 << 20
+#: What a Python worker remembers from task to task: one thing, which the next operator to run in that worker lets go.
+_REMEMBERED: dict[str, object] = {}
 
 
 def keyed(df: DataFrame, key: str, **kinds: str) -> DataFrame:
@@ -49,7 +52,41 @@ def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> Dat
         for batch in slices(batches):
             yield batch.filter(pa.array(decide(texts(batch)), pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(lean(task), docs.schema)
+
+
+def remembered(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave when this worker first asked for ``key``; whatever else it remembered is let go."""
+    if key not in _REMEMBERED:
+        forget()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    _REMEMBERED.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system; Arrow and the C library would keep it, at every worker of an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's alone has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` in a worker that remembers nothing, before and after: Spark uses a worker again for whatever comes next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def release(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import Numbering, documents, offsets_of, slices, texts
+from cratewise.llm.common import Numbering, documents, lean, offsets_of, slices, texts
 
 #: Labelled documents of a language that are learned from, on average at most.
 SAMPLE_DOCS = 1_500
@@ -195,7 +195,7 @@ def fit(labelled: DataFrame) -> Model:
         at, lang = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang), pa.array(counts[at, lang])], ["at", "lang", "n"])
 
-    summed = sample.mapInArrow(task, "at long, lang long, n long").groupBy("at", "lang").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
+    summed = sample.mapInArrow(lean(task), "at long, lang long, n long").groupBy("at", "lang").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
     counts = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
     counts[summed.column("at").to_numpy(), summed.column("lang").to_numpy()] = summed.column("n").to_numpy()
     smooth = counts[:BUCKETS] + SMOOTHING

@@ -19,7 +19,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress, islice
+from itertools import batched, chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cratewise.llm.common import Numbering, documents, offsets_of, ranges, slices, texts
+from cratewise.llm.common import Numbering, documents, give_back, lean, offsets_of, ranges, remembered, slices, texts
 from cratewise.session import fixed
 
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 400_000
 #: Groups whose ids it remembers from slice to slice, and letters that its groups, and its words, may have; one slice more at most.
-REMEMBERED_GROUPS = 600_000
+REMEMBERED_GROUPS = 400_000
 REMEMBERED_LETTERS = 16_000_000
 #: Plain words that the tokenizer gets in one string.
 WORDS_AT_ONCE = 1_024
@@ -42,7 +42,10 @@ PART_PIECES = 200_000
 #: Text of which words are sure to be matched alike by the tokenizer's own pattern; other text goes to it unsplit.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_WORKER: dict[str, Words] = {}
+#: Words that the tokenizer gets at a time: what it returns for a word takes many times the word's own room.
+TOKENIZED_WORDS = 16_384
+#: Slices after which a worker gives freed memory back.
+SLICES = 4
 
 
 class Words:
@@ -67,15 +70,11 @@ class Words:
 
     @classmethod
     def of_worker(cls, tokenizer_json: str) -> Words:
-        key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = cls(tokenizer_json)
-        return _WORKER[key]
+        return remembered(f"packing {hashlib.sha256(tokenizer_json.encode()).hexdigest()}", lambda: cls(tokenizer_json))
 
     def _forget(self) -> None:
         self.numbers, self.word_letters = Numbering(), 0
-        self.ids, self.used, self.starts = np.zeros(1 << 16, np.int32), 0, [0]
+        self.ids, self.used, self.starts = np.zeros(1 << 16, np.int32), 0, np.zeros(1, np.int64)
 
     def _keep_recent(self) -> None:
         """Only the groups of the last slice stay: frequent ones are among them."""
@@ -88,12 +87,12 @@ class Words:
         self.recent, self.letters = np.arange(len(recent)), sum(map(len, self.groups))
 
     def _learn(self, words: list[str]) -> None:
-        flat, sizes = self._tokenized(words)
+        flat, sizes = (np.concatenate(x) for x in zip(*(self._tokenized(list(part)) for part in batched(words, TOKENIZED_WORDS))))
         self.word_letters += sum(map(len, words))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts += (self.used + np.cumsum(sizes)).tolist()
+        self.starts = np.append(self.starts, self.used + np.cumsum(sizes))
         self.used += len(flat)
 
     def _tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +131,12 @@ class Words:
             counts.append(len(words))
         if len(self.numbers) > known:
             self._learn(list(islice(self.numbers, known, None)))
-        starts = np.array(self.starts)
         parts_a = np.array(parts, np.int64)
-        sizes = starts[parts_a + 1] - starts[parts_a]
+        starts = self.starts[parts_a]
+        sizes = self.starts[parts_a + 1] - starts
         ends = offsets_of(sizes)[offsets_of(np.array(counts, np.int64))]
         self.group_starts = np.append(self.group_starts, self.group_starts[-1] + ends[1:])
-        self.group_ids = np.append(self.group_ids, self.ids[ranges(starts[parts_a], sizes)])
+        self.group_ids = np.append(self.group_ids, self.ids[ranges(starts, sizes)])
         self.letters += sum(map(len, groups))
 
     def encode(self, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +163,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.of_worker(sent.value)
-        for batch in slices(batches):
+        for n, batch in enumerate(slices(batches), 1):
+            if not n % SLICES:
+                give_back()
             ids, ends = words.encode(texts(batch))
             rows: list[tuple] = []
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
@@ -266,7 +267,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
 
     names = cut.columns
     schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(task, schema)
+    return ranked.mapInArrow(lean(task), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

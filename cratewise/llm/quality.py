@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import Numbering, documents, offsets_of, ranges, slices, texts
+from cratewise.llm.common import Numbering, documents, lean, offsets_of, ranges, slices, texts
 
 SAMPLE_DOCS = 6_000
 WORD_BUCKETS = 1 << 14
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 ["doc_id", "quality", "places", "stats"],
             )
 
-    rows = sorted(sample.mapInArrow(task, "doc_id long, quality int, places binary, stats binary").collect())
+    rows = sorted(sample.mapInArrow(lean(task), "doc_id long, quality int, places binary, stats binary").collect())
     if not rows:
         return None
     each = [np.frombuffer(r.places, "<i4").astype(np.int64) for r in rows]

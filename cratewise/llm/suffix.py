@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import documents, release, slices, texts
+from cratewise.llm.common import documents, lean, release, slices, texts
 from cratewise.session import fixed, shuffle_width
 
 LENGTH = 100
@@ -282,7 +282,7 @@ def _covered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, places: array of (hash, pos, n)) of the anchors that stand in n > 1 places; a written table. Hashes are
     counted before they are shuffled, and the join with the counts can split a hash that stands in very many places."""
-    found = docs.mapInArrow(_anchor_rows, "hash long, doc_id long, pos int")
+    found = docs.mapInArrow(lean(_anchor_rows), "hash long, doc_id long, pos int")
     counts = fixed(found.groupBy("hash").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1"))
     release(docs.sparkSession)
     return fixed(found.join(counts, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "n")).alias("places")))  # a document's own
@@ -298,9 +298,9 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
 def shared_spans(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, spans) of what stands earlier around the repeated anchors; a written table."""
-    contexts = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_context_rows, _SHUFFLED)
+    contexts = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lean(_context_rows), _SHUFFLED)
     parts = shuffle_width(docs.sparkSession)
-    spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_covered_rows, "doc_id long, start long, stop long")
+    spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(_covered_rows), "doc_id long, start long, stop long")
     return fixed(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
 
@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((len(data), len(data) - len(kept), len(runs), kept))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.join(covered(docs), "doc_id", "left").mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(covered(docs), "doc_id", "left").mapInArrow(lean(task), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -368,4 +368,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in cut]).cast(batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    return docs.join(covered(docs.select("doc_id", "text")), "doc_id", "left").select(*names, "whole", "spans").mapInArrow(task, docs.schema)
+    return docs.join(covered(docs.select("doc_id", "text")), "doc_id", "left").select(*names, "whole", "spans").mapInArrow(lean(task), docs.schema)

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cratewise.llm import packing
+from cratewise.llm.common import keep_rows
 from cratewise.llm.queries import op10_best_two_fit
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +48,24 @@ def test_pieces_and_places(spark, docs_of, folder_of, public):
     assert -(-total // 2048) <= n <= -(-total // 2048) + 1
 
 
+def test_words_go_to_the_tokenizer_in_parts(monkeypatch, public):
+    monkeypatch.setattr(packing, "TOKENIZED_WORDS", 3)
+    with open(PATH, encoding="utf-8") as f:
+        ids, ends = packing.Words(f.read()).encode([t or "" for t in TEXTS])
+    assert [[*ids[a:b].tolist(), 0] for a, b in zip(ends[:-1], ends[1:])] == [public(t) for t in TEXTS]
+
+
+def test_the_next_operator_finds_no_words_in_its_worker(spark, docs_of):
+    def remembers_words(texts):
+        import gc
+
+        return [any(type(x).__name__ == "Words" for x in gc.get_objects())] * len(texts)
+
+    docs = docs_of([*enumerate(TEXTS)])
+    assert packing.pieces(docs, PATH).count() >= len(TEXTS)
+    assert keep_rows(docs, remembers_words).count() == 0
+
+
 def test_given_documents_are_packed_tightly(spark, public):
     rows = op10_best_two_fit(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: public(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
