@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cratewise.functions.features import SCALARS
 from cratewise.operators.aggregates import spearman, two_fold_error
 from cratewise.operators.ranking import prefix_totals, row_numbers
+from cratewise.session import fixed
 
 FIT2_MIN_SHARE = 0.25
 
@@ -86,19 +87,46 @@ def playlist_metrics(playlists: DataFrame, flags: DataFrame) -> DataFrame:
     return main.join(median, "playlist_id")
 
 
+#: Tracks of a playlist that one task ranks at most.
+RANKED_WHOLE = 100_000
+
+
 def mean_pairwise_distance(playlists: DataFrame) -> DataFrame:
     """(playlist_id, diversity): mean L1 distance over all pairs of tracks, in [0, 1], without forming pairs.
 
-    On each axis the pairwise sum is Σ x·(rows below − rows above) over the sorted values, so value counts and
-    their running totals are enough.
+    On each axis the pairwise sum is Σ x·(rows below − rows above) over the sorted values. A playlist of up to RANKED_WHOLE tracks
+    is ranked on all axes where its rows are; of a larger one value counts and their running totals are dealt out.
     """
-    long = playlists.select("playlist_id", *SCALARS).unpivot(["playlist_id"], list(SCALARS), "dim", "x")
+    rows = fixed(playlists.select("playlist_id", *SCALARS))
+    large = rows.groupBy("playlist_id").agg(F.count("*").alias("_n")).where(F.col("_n") > RANKED_WHOLE).select("playlist_id")
+    sums = _sums_by_rank
+    if not (large := fixed(large)).isEmpty():
+        known, is_large = large.withColumnRenamed("playlist_id", "_large"), F.col("playlist_id").eqNullSafe(F.col("_large"))
+        sums = lambda all_: _sums_by_rank(all_.join(known, is_large, "left_anti")).unionByName(_sums_by_value(all_.join(known, is_large, "left_semi")))
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2
+    return sums(rows).select("playlist_id", F.when(pairs > 0, F.col("_s") / pairs / (2 * len(SCALARS))).otherwise(F.lit(0.0)).alias("diversity"))
+
+
+def _sums_by_rank(rows: DataFrame) -> DataFrame:
+    """(playlist_id, pairwise sum _s, tracks _n): one shuffle of the rows as they are, one local sort an axis."""
+    # The value at rank r has r - 1 rows ahead and n - r behind: together Σ 2·r·x − (n + 1)·Σ x.
+    whole = reduce(add, [F.coalesce(F.col(x), F.lit(0.0)) for x in SCALARS])
+    there = F.coalesce(*[F.col(x) for x in SCALARS]).isNotNull()
+    ranked = rows.withColumns({"_x": whole, "_there": there})
+    for x in SCALARS:
+        ranked = ranked.withColumn(x, F.col(x) * F.row_number().over(Window.partitionBy("playlist_id").orderBy(x)))
+    by_rank = reduce(add, [F.coalesce(F.sum(x), F.lit(0.0)) for x in SCALARS])
+    sums = ranked.groupBy("playlist_id").agg(by_rank.alias("_r"), F.sum("_x").alias("_x"), F.count("*").alias("_n"), F.bool_or("_there").alias("_there"))
+    return sums.select("playlist_id", F.when(F.col("_there"), 2 * F.col("_r") - (F.col("_n") + 1) * F.col("_x")).alias("_s"), "_n")
+
+
+def _sums_by_value(rows: DataFrame) -> DataFrame:
+    """The same from value counts, for playlists that are too large for a task."""
+    long = rows.unpivot(["playlist_id"], list(SCALARS), "dim", "x")
     counts = long.groupBy("playlist_id", "dim", "x").agg(F.count("*").alias("_c"))
     at = prefix_totals(counts, ["playlist_id", "dim"], [F.col("x").asc()], weight="_c", before="_b", total="_n")
     above = F.col("_n") - F.col("_b") - F.col("_c")
-    sums = at.groupBy("playlist_id").agg(F.sum(F.col("x") * F.col("_c") * (F.col("_b") - above)).alias("_s"), F.max("_n").alias("_n"))
-    pairs = F.col("_n") * (F.col("_n") - 1) / 2
-    return sums.select("playlist_id", F.when(pairs > 0, F.col("_s") / pairs / (2 * len(SCALARS))).otherwise(F.lit(0.0)).alias("diversity"))
+    return at.groupBy("playlist_id").agg(F.sum(F.col("x") * F.col("_c") * (F.col("_b") - above)).alias("_s"), F.max("_n").alias("_n"))
 
 
 def roll_up(results: DataFrame) -> DataFrame:
