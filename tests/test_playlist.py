@@ -43,6 +43,23 @@ def test_levels_warnings_and_exhaustion(spark, world):
     assert got[4] == set() and said[4] == {"invalid_length"}
 
 
+def test_a_request_that_has_every_title_is_offered_nothing_more(spark, world, monkeypatch):
+    tracks, scalars, groups = world
+    asked, offers = [], pl.offers
+
+    def noted(cells, wanted, *rest):
+        asked.extend(r.want for r in wanted.collect())
+        return offers(cells, wanted, *rest)
+
+    monkeypatch.setattr(pl, "offers", noted)
+    rock = tracks.where("genre = 'rock'")
+    got, said = make(spark, (rock, scalars, groups), {3: 80})
+    assert len(got[3]) == 60 and said[3] == {"hits_relaxed", "prefilter_relaxed", "language_relaxed", "catalog_exhausted"}
+    assert asked and min(asked) > 20  # the 20 that are missing are asked of no cell
+    # Where an artist is not known the catalog cannot be counted out; the answer is the same.
+    assert pl._words(tracks) == (40, 70) and pl._words(tracks.withColumn("artist", F.nullif("artist", F.lit("a3")))) == (None, 70)
+
+
 def test_swap_after_a_page_keeps_to_new_artists(spark, world):
     previous = spark.createDataFrame([(1, t) for t in range(0, 24, 2)], "request long, track_id long")
     swap, _ = make(spark, world, {1: 3}, previous=previous, new_artists_only=True)
