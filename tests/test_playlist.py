@@ -1,5 +1,7 @@
 """Generation on a small catalog whose answers can be counted by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,29 @@ def test_a_request_that_has_every_title_is_offered_nothing_more(spark, world, mo
     assert pl._words(tracks) == (40, 70) and pl._words(tracks.withColumn("artist", F.nullif("artist", F.lit("a3")))) == (None, 70)
 
 
+def test_counts_of_cells_meet_limits_without_a_shuffle_of_their_product(spark, world, monkeypatch):
+    """Nothing is small enough here to be broadcast unasked, as on a large catalog."""
+    plans, write = [], pl.fixed
+
+    def noted(df):
+        if {"limit", "cut", "depth"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(pl, "fixed", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, _ = make(spark, world, {1: 20})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(got[1]) == 20 and plans
+    for plan in plans:
+        counted = re.search(r"BroadcastHashJoin \[cell#\d+, market#\d+, max_tier#\d+\]", plan)
+        ruled = re.search(r"Join \[request#\w+, max_tier#\d+\]", plan)
+        assert counted and ruled and counted.start() < ruled.start()  # the plan shows the last step first
+
+
 def test_swap_after_a_page_keeps_to_new_artists(spark, world):
     previous = spark.createDataFrame([(1, t) for t in range(0, 24, 2)], "request long, track_id long")
     swap, _ = make(spark, world, {1: 3}, previous=previous, new_artists_only=True)
